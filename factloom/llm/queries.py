@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, simhash, substrings
+from . import licenses, mixing, quality, rules, simhash, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_classifier": quality.quality_scores,
         "op2_simhash": simhash.simhash_components,
+        "op5_toxicity": toxicity.toxicity_scores,
+        "op6_quality_rules": rules.quality_rules,
         "op7_substring_dedup": substrings.substring_digest,
         "op8_mixing": mixing.mixed_sources,
+        "op10_license_scan": licenses.license_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_quality_rules": rules.oracle(), "op10_license_scan": licenses.oracle()}
