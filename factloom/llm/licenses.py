@@ -79,7 +79,7 @@ def scan(docs: DataFrame, known: dict[str, list[str]] | None = None, notices: di
     spark = docs.sparkSession
     docs = docs.drop("digest", "license_id", "notices")
     names = docs.columns
-    lines_name = common.free(names, "lines")
+    lines_name, known_name = common.free(names, "lines"), common.free([*names, "digest", "license_id"], "known_digest")
     whole = registry(spark, (known or TEXTS) | {}).unionByName(registry(spark, notices or NOTICES)).groupBy("known").agg(F.min("license_id").alias("license_id"))
     one = registry(spark, notices or NOTICES).groupBy("known").agg(F.min("license_id").alias("license_id"), F.first("size").alias("size")).collect()  # as many as notices are known
     ids = F.create_map(*[F.lit(v) for r in one for v in (r.known, r.license_id)]) if one else F.create_map().cast("map<string,string>")
@@ -88,7 +88,7 @@ def scan(docs: DataFrame, known: dict[str, list[str]] | None = None, notices: di
     fitting = F.filter(F.split(F.col(lines_name), "\n"), lambda x: F.length(x).between(low, high + 2))
     found = F.filter(F.transform(fitting, lambda x: ids[digest(x)]), lambda x: x.isNotNull())
     marked = ready.select(*names, digest(F.col(lines_name)).alias("digest"), F.array_join(F.array_sort(F.array_distinct(found)), ",").alias("notices"))
-    joined = marked.join(F.broadcast(whole), marked["digest"] == F.col("known"), "left")  # as many as texts are known
+    joined = marked.join(F.broadcast(whole.withColumnRenamed("known", known_name)), F.col("digest") == F.col(known_name), "left")  # as many as texts are known
     return joined.select(*names, "digest", "license_id", F.coalesce("notices", F.lit("")).alias("notices"))
 
 

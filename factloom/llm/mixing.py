@@ -86,13 +86,13 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5.0,
         return one.assign(quota=sainte_lague(one.shard_size.to_numpy(), int(one.blocks.iloc[0])))[["h", "k", "s", "source_size", "target", "quota"]]
 
     parts = shards.select(F.col(has).alias("h"), F.col(gap).alias("k"), F.col(shard).alias("s"), "shard_size").join(goal, ["h", "k"])
-    dealt = parts.groupBy("h", "k").applyInPandas(quotas, "h boolean, k string, s int, source_size long, target double, quota long").withColumnRenamed("quota", quota)
+    dealt = parts.groupBy("h", "k").applyInPandas(quotas, "h boolean, k string, s int, source_size long, target double, quota long").toDF("h__", "k__", "s__", "source_size", "target", quota)
     line = Window.partitionBy(has, gap, shard)
     run = line.orderBy(at, doc).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     past, whole = F.sum("size").over(run), F.sum("size").over(line)
     ends, all_words = common.free(names, "line_end"), common.free(names, "line_size")
     laid = sized.withColumns({ends: past, all_words: whole})
-    both = laid.join(dealt, (F.col(has) == F.col("h")) & (F.col(gap) == F.col("k")) & (F.col(shard) == F.col("s")))
+    both = laid.join(dealt, (F.col(has) == F.col("h__")) & (F.col(gap) == F.col("k__")) & (F.col(shard) == F.col("s__")))
     want = F.least(F.col(quota) * block, F.lit(most) * F.col(all_words))
     rounds = F.when(F.col(all_words) > 0, F.floor(want / F.col(all_words))).otherwise(0)
     rest = want - rounds * F.col(all_words)

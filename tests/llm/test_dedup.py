@@ -176,3 +176,25 @@ def test_sainte_lague_by_quotients():
         for _ in range(seats):
             want[int(np.argmax(votes / (2 * want + 1)))] += 1
         assert mixing.sainte_lague(votes, seats).tolist() == want.tolist()
+
+
+def test_near_copies_and_clashing_names(spark):
+    rng = random.Random(9)
+    base = [" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(90)}" for _ in range(n)) for n in (120, 300, 800)]
+
+    def edited(text, n):
+        w = text.split()
+        for _ in range(n):
+            w[rng.randrange(len(w))] = f"new{rng.randrange(999)}"
+        return " ".join(w)
+
+    rows = [(k, t) for k, t in enumerate(base)]
+    rows += [(10 + k, edited(base[k % 3], 1 + (k % 3))) for k in range(30)]
+    rows += [(100 + k, " ".join(f"z{rng.randrange(2000)}" for _ in range(150))) for k in range(40)]
+    rows += [(200, None), (201, ""), (0, base[0]), (None, base[1])]
+    df = spark.createDataFrame([(*r, 1, 2, "g") for r in rows], "doc_id long, text string, h int, k int, gone string")
+    kept = sorted(r.doc_id for r in simhash.without_copies(df).collect())
+    assert kept == [0, 1, 2, *range(100, 140), 200, 201]
+    assert simhash.without_copies(df.limit(0)).count() == 0
+    mixed = mixing.mix(df.withColumn("source", df.gone))
+    assert mixed.count() == len(rows) and {r.k for r in mixed.collect()} == {2}
