@@ -28,6 +28,13 @@ _CELLS = 1 << 15
 SUFFIXES = {"uk": "en", "us": "en", "au": "en", "ie": "en", "nz": "en", "de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es"}
 
 
+_NO_DIGITS = bytes(32 if 48 <= b < 58 else b for b in range(256))
+
+
+def _letters(text: str | None) -> bytes:
+    return plain(text).translate(_NO_DIGITS)
+
+
 def _trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Cells of all trigrams that do not span two words, and each text's first cell."""
     buffer = np.frombuffer(b"  ".join(texts) + b"  ", np.uint8).astype(np.uint32)
@@ -45,7 +52,7 @@ def train(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, text: str = "
         total = np.zeros((len(languages), _CELLS), np.int64)
         for batch in batches:
             for some in common.pieces(batch, "t", 1 << 20):
-                cells, starts = _trigrams([plain(x) for x in some.column("t").to_pylist()])
+                cells, starts = _trigrams([_letters(x) for x in some.column("t").to_pylist()])
                 which = np.array([languages.index(x) for x in some.column("l").to_pylist()])
                 owner = np.repeat(which, np.diff(np.append(starts, len(cells))))
                 total += np.bincount(owner * _CELLS + cells, minlength=total.size).reshape(total.shape)
@@ -70,7 +77,7 @@ def likelihoods(df: DataFrame, model: np.ndarray, text: Column, keep: list[str],
         for batch in batches:
             found = []
             for some in common.pieces(batch, into, 1 << 20):
-                cells, starts = _trigrams([plain(x) for x in some.column(into).to_pylist()])
+                cells, starts = _trigrams([_letters(x) for x in some.column(into).to_pylist()])
                 n = np.diff(np.append(starts, len(cells)))
                 sums = np.zeros((len(n), len(table)))
                 full = np.flatnonzero(n)
