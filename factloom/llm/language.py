@@ -42,7 +42,7 @@ def _trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     a, b, c = buffer[:-2], buffer[1:-1], buffer[2:]
     code = ((a | b << np.uint32(8) | c << np.uint32(16)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - 15)
     use = np.flatnonzero((b != 32) & ~((a == 32) & (c == 32)))
-    return code[use], np.searchsorted(use, np.concatenate([[0], ends[:-1]]))
+    return code[use], np.searchsorted(use, np.concatenate([[0], ends[:-1] - 1]))  # a text begins with the space before it
 
 
 def train(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, text: str = "text", lang: str = "lang") -> np.ndarray:
