@@ -82,6 +82,8 @@ class Pieces:
     def apart(self, a: str, b: str) -> bool:
         """Whether two reachable pieces stay apart. Only where what they end and begin with could merge is it tried."""
         rank = self.rank
+        if a + b in rank:
+            return False
         for x in self.right[a]:
             for y in self.left[b]:
                 if x + y in rank:
@@ -89,24 +91,39 @@ class Pieces:
         return True
 
 
+class _Memo(dict):
+    """Remembers what `make` gives, in two generations of `most` entries, so that what is in use stays."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 class Scan:
-    """Encoding by a Pieces table; keeps what it has found, up to `most` entries of each kind."""
+    """Encoding by a Pieces table; remembers what it has found, within bounds."""
 
     def __init__(self, pieces: Pieces, most: int = 250_000):
-        self.p, self.most = pieces, most
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.runs: dict[str, tuple[int, ...]] = {}
+        self.p = pieces
+        self.pairs = _Memo(lambda pair: pieces.apart(*pair), most)
+        self.runs = _Memo(lambda text: self.bytes_of(text) if len(text) == 1 and text not in pieces.id else self._run(text), most)
+        byte = {i: bytes([b]) for b, i in pieces.byte.items()}
+        self.raw = [byte.get(i) or name.replace(SPACE, " ").encode() for i, name in enumerate(pieces.names)]
 
     def apart(self, a: str | None, b: str | None) -> bool:
         """None is the start of a text, or a character that no piece holds."""
         if a is None or b is None:
             return True
-        found = self.pairs.get((a, b))
-        if found is None:
-            if len(self.pairs) >= self.most:
-                self.pairs.clear()
-            found = self.pairs[a, b] = self.p.apart(a, b)
-        return found
+        return self.pairs[a, b]
 
     def _run(self, text: str) -> tuple[int, ...]:
         """Path through a run between hard borders."""
@@ -126,15 +143,6 @@ class Scan:
             at -= len(last[at])
         return tuple(reversed(out))
 
-    def run(self, text: str) -> tuple[int, ...]:
-        found = self.runs.get(text)
-        if found is None:
-            if len(self.runs) >= self.most:
-                self.runs.clear()
-            found = self.bytes_of(text) if len(text) == 1 and text not in self.p.id else self._run(text)
-            self.runs[text] = found
-        return found
-
     def bytes_of(self, char: str) -> tuple[int, ...]:
         """A character that no piece holds: its bytes, or the unknown piece."""
         p = self.p
@@ -144,11 +152,10 @@ class Scan:
         return (SPACE if self.p.prefix else "") + text.replace(" ", SPACE) if text else ""
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.run, self.p.run.findall(self.marked(text)))))
+        return list(chain.from_iterable(map(self.runs.__getitem__, self.p.run.findall(self.marked(text)))))
 
     def decode(self, ids: list[int]) -> str:
-        names, byte = self.p.names, {i: b for b, i in self.p.byte.items()}
-        out = b"".join(bytes([byte[i]]) if i in byte else names[i].encode() for i in ids).decode("utf-8", "replace").replace(SPACE, " ")
+        out = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return out[1:] if self.p.prefix and out.startswith(" ") else out
 
     # Chunks of a giant text. `at` and `to` are places in `text`, a slice that reaches `longest` characters further on both sides.
@@ -199,6 +206,16 @@ class Scan:
     def matrix(self, text: str, at: int, to: int, whole: bool) -> np.ndarray:
         """Max-plus matrix from the states at `at` to those at `to`: 0 where a path leads, -inf elsewhere."""
         entries, exits = self.states(text, at, False), self.states(text, to, whole)
+        inner = self._inner(text, at, to)
+        if inner:  # every path goes through the hard borders: a column of entries times a row of exits
+            nodes, _ = self.forward(text, at, inner[0], entries, True)
+            alive = 0
+            for bits in nodes.get(inner[0], {}).values():
+                alive |= bits
+            after, _ = self.forward(text, inner[1], to, [(0, None)], whole)
+            column = np.array([0 if alive >> i & 1 else _INF for i in range(len(entries))], np.float32)
+            row = np.array([0 if after.get(to + end, {}).get(piece, 0) else _INF for end, piece in exits], np.float32)
+            return column[:, None] + row[None, :]
         nodes, _ = self.forward(text, at, to, entries, whole)
         out = np.full((len(entries), len(exits)), _INF, np.float32)
         for j, (end, piece) in enumerate(exits):
@@ -208,17 +225,33 @@ class Scan:
                     out[i, j] = 0
         return out
 
-    def trace(self, text: str, at: int, to: int, entry: int, exit_: int, whole: bool) -> list[int]:
-        """Ids of the pieces after the entry state up to the exit state."""
-        entries, exits = self.states(text, at, False), self.states(text, to, whole)
-        _, back = self.forward(text, at, to, [entries[entry]], whole)
-        start = (at + entries[entry][0], entries[entry][1])
-        node, out = (to + exits[exit_][0], exits[exit_][1]), []
+    def _inner(self, text: str, at: int, to: int) -> tuple[int, int] | None:
+        """First and last hard border that no state at either end of a chunk reaches over, if there are two."""
+        ends = [m.end() for m in self.p.run.finditer(text, max(0, at - 1), to)][:-1]
+        some = [x for x in ends if at + self.p.longest <= x <= to - self.p.longest]
+        return (some[0], some[-1]) if len(some) > 1 else None
+
+    def _back(self, text: str, start: tuple[int, str | None], node: tuple[int, str | None], back: dict) -> list[tuple[int, ...]]:
+        out = []
         while node != start:
             before = back[node]
             out.append((self.p.id[node[1]],) if node[1] is not None else self.bytes_of(text[before[0] : node[0]]))
             node = before
-        return list(chain.from_iterable(reversed(out)))
+        return out[::-1]
+
+    def trace(self, text: str, at: int, to: int, entry: int, exit_: int, whole: bool) -> list[int]:
+        """Ids of the pieces after the entry state up to the exit state."""
+        first, last = self.states(text, at, False)[entry], self.states(text, to, whole)[exit_]
+        inner, end = self._inner(text, at, to), (to + last[0], last[1])
+        if not inner:
+            _, back = self.forward(text, at, to, [first], whole)
+            return list(chain.from_iterable(self._back(text, (at + first[0], first[1]), end, back)))
+        nodes, back = self.forward(text, at, inner[0], [first], True)
+        (piece,) = nodes[inner[0]]
+        out = self._back(text, (at + first[0], first[1]), (inner[0], piece), back)
+        out += map(self.runs.__getitem__, self.p.run.findall(text, inner[0], inner[1]))
+        _, back = self.forward(text, inner[1], to, [(0, None)], whole)
+        return list(chain.from_iterable(out + self._back(text, (inner[1], None), end, back)))
 
 
 def compose(a: np.ndarray, b: np.ndarray) -> np.ndarray:
