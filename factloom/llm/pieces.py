@@ -130,11 +130,11 @@ class Scan:
         known, longest = self.p.id, self.p.longest
         if text in known and len(text) == 1:
             return (known[text],)
-        last: list[str | None] = [None] * (len(text) + 1)
+        pairs, last = self.pairs, [""] * (len(text) + 1)
         for end in range(1, len(text) + 1):
-            for start in range(max(0, end - longest), end):
+            for start in range(end - longest if end > longest else 0, end):
                 piece = text[start:end]
-                if piece in known and self.apart(last[start], piece):
+                if piece in known and (not start or pairs[last[start], piece]):
                     last[end] = piece
                     break
         out, at = [], len(text)
