@@ -30,7 +30,7 @@ from . import common
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-NONE = -1  # a character that no piece holds
+SHORT = 64  # characters of a run that is traced from its end
 _INF = float("-inf")
 
 
@@ -51,44 +51,62 @@ class Pieces:
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == 2)
         self.longest = max(map(len, self.rank))
-        self.left: dict[str, tuple[str, ...]] = {}
-        self.right: dict[str, tuple[str, ...]] = {}
+        self.score = {name: score for name, (score, _) in self.rank.items()}
+        # how a piece comes about: what it begins or ends with before each of its merges, and that merge's score
+        self.left: dict[str, tuple[tuple[str, float], ...]] = {}
+        self.right: dict[str, tuple[tuple[str, float], ...]] = {}
         for name in list(self.rank):
-            first, last = [], []
-            if self.merge(name, first, last) == [name]:
-                self.left[name], self.right[name] = tuple(dict.fromkeys(first)), tuple(dict.fromkeys(last))
+            first, last, scores = [], [], []
+            if self.merge(name, first, last, scores) == [name]:
+                self.left[name], self.right[name] = tuple(zip(first, scores, strict=True)), tuple(zip(last, scores, strict=True))
         self.id = {name: self.rank[name][1] for name in self.left}
         crossing = any(SPACE in x.lstrip(SPACE) for x in self.id)
         letters = "".join(re.escape(x) for x in self.id if len(x) == 1 and x != SPACE)
         run = f"[{letters}{SPACE}]+" if crossing else f"{SPACE}*[{letters}]+|{SPACE}+"
         self.run = re.compile(f"{run}|.", re.S)
 
-    def merge(self, text: str, first: list[str] | None = None, last: list[str] | None = None) -> list[str]:
-        """Best merge first, the leftmost of equals, until none is left. first, last: get the pieces at both ends over time."""
+    def merge(self, text: str, first: list[str] | None = None, last: list[str] | None = None, scores: list[float] | None = None) -> list[str]:
+        """Best merge first, the leftmost of equals, until none is left. The lists get the pieces at both ends and the next merge's score over time."""
         parts = list(text)
         while True:
-            if first is not None:
+            best, at = _INF, -1
+            for i in range(len(parts) - 1):
+                found = self.score.get(parts[i] + parts[i + 1])
+                if found is not None and found > best:
+                    best, at = found, i
+            if scores is not None:
                 first.append(parts[0])
                 last.append(parts[-1])
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                found = self.rank.get(parts[i] + parts[i + 1])
-                if found and (best is None or found[0] > best):
-                    best, at = found[0], i
-            if best is None:
+                scores.append(best)
+            if at < 0:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def apart(self, a: str, b: str) -> bool:
-        """Whether two reachable pieces stay apart. Only where what they end and begin with could merge is it tried."""
-        rank = self.rank
-        if a + b in rank:
+        """Whether two reachable pieces stay apart.
+
+        Until a merge crosses their border both grow as they do alone, so the two histories are walked in the order
+        of their scores; a crossing merge that is better than the next one on both sides ends it.
+        """
+        score = self.score
+        if a + b in score:
             return False
-        for x in self.right[a]:
-            for y in self.left[b]:
-                if x + y in rank:
-                    return self.merge(a + b) == [a, b]
-        return True
+        ends, starts = self.right[a], self.left[b]
+        i = j = 0
+        x, s = ends[0]
+        y, t = starts[0]
+        while True:
+            crossing = score.get(x + y)
+            if crossing is not None and crossing > s and crossing >= t:
+                return False
+            if s >= t:
+                if s == _INF:
+                    return True
+                i += 1
+                x, s = ends[i]
+            else:
+                j += 1
+                y, t = starts[j]
 
 
 class _Memo(dict):
@@ -116,6 +134,7 @@ class Scan:
         self.p = pieces
         self.pairs = _Memo(lambda pair: pieces.apart(*pair), most)
         self.runs = _Memo(lambda text: self.bytes_of(text) if len(text) == 1 and text not in pieces.id else self._run(text), most)
+        self.tails = _Memo(self._tail, most)
         byte = {i: bytes([b]) for b, i in pieces.byte.items()}
         self.raw = [byte.get(i) or name.replace(SPACE, " ").encode() for i, name in enumerate(pieces.names)]
 
@@ -125,11 +144,27 @@ class Scan:
             return True
         return self.pairs[a, b]
 
+    def _tail(self, text: str) -> str:
+        """The last piece of a short run, which asks only for the prefixes that its candidates leave."""
+        known = self.p.id
+        if text in known:
+            return text
+        for start in range(max(1, len(text) - self.p.longest), len(text)):
+            piece = text[start:]
+            if piece in known and self.pairs[self.tails[text[:start]], piece]:
+                return piece
+        raise ValueError(f"no path through {text!r}")
+
     def _run(self, text: str) -> tuple[int, ...]:
         """Path through a run between hard borders."""
         known, longest = self.p.id, self.p.longest
-        if text in known and len(text) == 1:
-            return (known[text],)
+        out: list[int] = []
+        if len(text) <= SHORT:
+            while text:
+                piece = self.tails[text]
+                out.append(known[piece])
+                text = text[: -len(piece)]
+            return tuple(reversed(out))
         pairs, last = self.pairs, [""] * (len(text) + 1)
         for end in range(1, len(text) + 1):
             for start in range(end - longest if end > longest else 0, end):
@@ -137,7 +172,7 @@ class Scan:
                 if piece in known and (not start or pairs[last[start], piece]):
                     last[end] = piece
                     break
-        out, at = [], len(text)
+        at = len(text)
         while at:
             out.append(known[last[at]])
             at -= len(last[at])
