@@ -60,6 +60,11 @@ class Pieces:
             if self.merge(name, first, last, scores) == [name]:
                 self.left[name], self.right[name] = tuple(zip(first, scores, strict=True)), tuple(zip(last, scores, strict=True))
         self.id = {name: self.rank[name][1] for name in self.left}
+        ends: dict[str, set[int]] = {}
+        for name in self.id:
+            ends.setdefault(name[-2:], {1}).add(len(name))
+        #: lengths of the pieces that may end where these two characters do, longest first
+        self.ends = {pair: tuple(sorted(lengths, reverse=True)) for pair, lengths in ends.items()}
         crossing = any(SPACE in x.lstrip(SPACE) for x in self.id)
         letters = "".join(re.escape(x) for x in self.id if len(x) == 1 and x != SPACE)
         run = f"[{letters}{SPACE}]+" if crossing else f"{SPACE}*[{letters}]+|{SPACE}+"
@@ -121,7 +126,7 @@ class _Memo(dict):
         if found is None:
             found = self.make(key)
         if len(self) >= self.most:
-            self.old = dict(self)
+            self.old = self.copy()
             self.clear()
         self[key] = found
         return found
@@ -130,11 +135,10 @@ class _Memo(dict):
 class Scan:
     """Encoding by a Pieces table; remembers what it has found, within bounds."""
 
-    def __init__(self, pieces: Pieces, most: int = 250_000):
+    def __init__(self, pieces: Pieces, most: int = 400_000):
         self.p = pieces
-        self.pairs = _Memo(lambda pair: pieces.apart(*pair), most)
+        self.pairs = _Memo(lambda pair: pieces.apart(*pair), most // 2)
         self.runs = _Memo(lambda text: self.bytes_of(text) if len(text) == 1 and text not in pieces.id else self._run(text), most)
-        self.tails = _Memo(self._tail, most)
         byte = {i: bytes([b]) for b, i in pieces.byte.items()}
         self.raw = [byte.get(i) or name.replace(SPACE, " ").encode() for i, name in enumerate(pieces.names)]
 
@@ -144,27 +148,20 @@ class Scan:
             return True
         return self.pairs[a, b]
 
-    def _tail(self, text: str) -> str:
-        """The last piece of a short run, which asks only for the prefixes that its candidates leave."""
-        known = self.p.id
-        if text in known:
-            return text
-        for start in range(max(1, len(text) - self.p.longest), len(text)):
-            piece = text[start:]
-            if piece in known and self.pairs[self.tails[text[:start]], piece]:
-                return piece
-        raise ValueError(f"no path through {text!r}")
-
     def _run(self, text: str) -> tuple[int, ...]:
-        """Path through a run between hard borders."""
+        """Path through a run between hard borders. That of a short run is a remembered prefix's path and its last piece."""
         known, longest = self.p.id, self.p.longest
-        out: list[int] = []
         if len(text) <= SHORT:
-            while text:
-                piece = self.tails[text]
-                out.append(known[piece])
-                text = text[: -len(piece)]
-            return tuple(reversed(out))
+            if text in known:
+                return (known[text],)
+            names, size = self.p.names, len(text)
+            for n in self.p.ends.get(text[-2:], (1,)):
+                piece = text[-n:]
+                if piece in known and n < size:
+                    path = self.runs[text[:-n]]
+                    if self.pairs[names[path[-1]], piece]:
+                        return (*path, known[piece])
+            raise ValueError(f"no path through {text!r}")
         pairs, last = self.pairs, [""] * (len(text) + 1)
         for end in range(1, len(text) + 1):
             for start in range(end - longest if end > longest else 0, end):
@@ -172,7 +169,7 @@ class Scan:
                 if piece in known and (not start or pairs[last[start], piece]):
                     last[end] = piece
                     break
-        at = len(text)
+        out, at = [], len(text)
         while at:
             out.append(known[last[at]])
             at -= len(last[at])
