@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -63,3 +64,11 @@ def free(names: Iterable[str], wish: str) -> str:
     while wish.lower() in taken:
         wish += "_"
     return wish
+
+
+def release() -> None:
+    """Gives memory that is free back to the machine. A worker waits for its next task with what its last one took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)

@@ -30,6 +30,7 @@ from . import common
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+NONE = -1  # no piece yet
 SHORT = 64  # characters of a run that is traced from its end
 _INF = float("-inf")
 
@@ -135,9 +136,10 @@ class _Memo(dict):
 class Scan:
     """Encoding by a Pieces table; remembers what it has found, within bounds."""
 
-    def __init__(self, pieces: Pieces, most: int = 400_000):
+    def __init__(self, pieces: Pieces, most: int = 300_000):
         self.p = pieces
-        self.pairs = _Memo(lambda pair: pieces.apart(*pair), most // 2)
+        self.many = len(pieces.names)
+        self.pairs = _Memo(lambda pair: pieces.apart(pieces.names[pair // self.many], pieces.names[pair % self.many]), most)
         self.runs = _Memo(lambda text: self.bytes_of(text) if len(text) == 1 and text not in pieces.id else self._run(text), most)
         byte = {i: bytes([b]) for b, i in pieces.byte.items()}
         self.raw = [byte.get(i) or name.replace(SPACE, " ").encode() for i, name in enumerate(pieces.names)]
@@ -146,7 +148,7 @@ class Scan:
         """None is the start of a text, or a character that no piece holds."""
         if a is None or b is None:
             return True
-        return self.pairs[a, b]
+        return self.pairs[self.p.id[a] * self.many + self.p.id[b]]
 
     def _run(self, text: str) -> tuple[int, ...]:
         """Path through a run between hard borders. That of a short run is a remembered prefix's path and its last piece."""
@@ -154,25 +156,25 @@ class Scan:
         if len(text) <= SHORT:
             if text in known:
                 return (known[text],)
-            names, size = self.p.names, len(text)
+            size = len(text)
             for n in self.p.ends.get(text[-2:], (1,)):
                 piece = text[-n:]
                 if piece in known and n < size:
-                    path = self.runs[text[:-n]]
-                    if self.pairs[names[path[-1]], piece]:
-                        return (*path, known[piece])
+                    path, last = self.runs[text[:-n]], known[piece]
+                    if self.pairs[path[-1] * self.many + last]:
+                        return (*path, last)
             raise ValueError(f"no path through {text!r}")
-        pairs, last = self.pairs, [""] * (len(text) + 1)
+        ends: list[int] = [NONE] * (len(text) + 1)  # the last piece of each prefix
         for end in range(1, len(text) + 1):
             for start in range(end - longest if end > longest else 0, end):
-                piece = text[start:end]
-                if piece in known and (not start or pairs[last[start], piece]):
-                    last[end] = piece
+                piece = known.get(text[start:end])
+                if piece is not None and (not start or self.pairs[ends[start] * self.many + piece]):
+                    ends[end] = piece
                     break
         out, at = [], len(text)
         while at:
-            out.append(known[last[at]])
-            at -= len(last[at])
+            out.append(ends[at])
+            at -= len(self.p.names[ends[at]])
         return tuple(reversed(out))
 
     def bytes_of(self, char: str) -> tuple[int, ...]:
@@ -309,6 +311,7 @@ def _scan(shared) -> Scan:
     """This worker's scan of a broadcast model."""
     if shared.id not in _SCANS:
         _SCANS.clear()
+        common.release()
         _SCANS[shared.id] = Scan(shared.value)
     return _SCANS[shared.id]
 

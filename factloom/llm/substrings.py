@@ -122,6 +122,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, doc: str = "doc_id", tex
         for kind, values in ((0, size), (1, cells)):
             keys = np.flatnonzero(values)
             yield pa.record_batch({"kind": pa.array(np.full(len(keys), kind, np.int32)), "key": pa.array(keys), "n": pa.array(values[keys])})
+        common.release()
 
     seen = docs.select(F.col(doc).cast("long").alias("i"), F.col(text).alias("t")).mapInArrow(survey, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).toPandas()
     size, cells = np.zeros(len(marks) + 1, np.int64), np.zeros(_CELLS, np.int64)
@@ -195,8 +196,23 @@ def dedup_substrings(docs: DataFrame, window: int = 13, doc: str = "doc_id", tex
         out = data.select(carried)
         return out.append_column("kept_text", pa.array(kept, pa.binary()).cast(pa.string())).append_column("n_words", pa.array(coded.counts, pa.int64())).append_column("n_removed", pa.array(removed, pa.int64()))
 
-    answers = placed.groupBy(key).applyInArrow(send, "g long, b int, blob binary").groupBy("g").applyInArrow(meet, "b int, g long, bits binary")
-    return placed.groupBy(key).cogroup(answers.groupBy("b")).applyInArrow(judge, out_schema)
+    def sent(data: pa.Table) -> pa.Table:
+        out = send(data)
+        common.release()
+        return out
+
+    def met(data: pa.Table) -> pa.Table:
+        out = meet(data)
+        common.release()
+        return out
+
+    def judged(data: pa.Table, answers: pa.Table) -> pa.Table:
+        out = judge(data, answers)
+        common.release()
+        return out
+
+    answers = placed.groupBy(key).applyInArrow(sent, "g long, b int, blob binary").groupBy("g").applyInArrow(met, "b int, g long, bits binary")
+    return placed.groupBy(key).cogroup(answers.groupBy("b")).applyInArrow(judged, out_schema)
 
 
 def substring_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
