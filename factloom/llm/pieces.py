@@ -48,18 +48,20 @@ class Pieces:
             raise ValueError("a BPE model without text normalisation is asked for")
         self.prefix = bool(spec.add_dummy_prefix)
         self.names = [p.piece for p in proto.pieces]
-        self.rank: dict[str, tuple[float, int]] = {p.piece: (p.score, i) for i, p in enumerate(proto.pieces) if p.type == 1}
+        self.rank: dict[str, tuple[float, int]] = {self.names[i]: (p.score, i) for i, p in enumerate(proto.pieces) if p.type == 1}
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == 2)
         self.longest = max(map(len, self.rank))
         self.score = {name: score for name, (score, _) in self.rank.items()}
+        one = {name: name for name in self.rank}  # each string once, here and where this is sent
         # how a piece comes about: what it begins or ends with before each of its merges, and that merge's score
         self.left: dict[str, tuple[tuple[str, float], ...]] = {}
         self.right: dict[str, tuple[tuple[str, float], ...]] = {}
         for name in list(self.rank):
             first, last, scores = [], [], []
             if self.merge(name, first, last, scores) == [name]:
-                self.left[name], self.right[name] = tuple(zip(first, scores, strict=True)), tuple(zip(last, scores, strict=True))
+                self.left[name] = tuple(zip([one.get(x, x) for x in first], scores, strict=True))
+                self.right[name] = tuple(zip([one.get(x, x) for x in last], scores, strict=True))
         self.id = {name: self.rank[name][1] for name in self.left}
         ends: dict[str, set[int]] = {}
         for name in self.id:
@@ -144,6 +146,11 @@ class Scan:
         byte = {i: bytes([b]) for b, i in pieces.byte.items()}
         self.raw = [byte.get(i) or name.replace(SPACE, " ").encode() for i, name in enumerate(pieces.names)]
 
+    def rest(self) -> None:
+        """Between tasks: forgets the older generation, so that a waiting worker holds little."""
+        self.runs.old, self.pairs.old = {}, {}
+        common.release()
+
     def apart(self, a: str | None, b: str | None) -> bool:
         """None is the start of a text, or a character that no piece holds."""
         if a is None or b is None:
@@ -350,14 +357,15 @@ def encode(docs: DataFrame, model_file: str = MODEL, text: str = "text", giant:
                 ids = [None if x is None else scan.encode(x) for x in texts]
                 same = [None if x is None else scan.decode(i) == x for x, i in zip(texts, ids, strict=True)]
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], [*names, "ids", "round_trip"])
+        scan.rest()
 
     # Giant texts, each once.
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = _scan(shared)
         more = scan.p.longest
         for batch in batches:
-            for k, x in zip(batch.column("k").to_pylist(), batch.column("x").to_pylist(), strict=True):
-                marked = scan.marked(x)
+            for k, x in zip(batch.column("k"), batch.column("x"), strict=True):
+                k, marked = k.as_py(), scan.marked(x.as_py())
                 for i, at in enumerate(range(0, len(marked), chunk)):
                     to = min(len(marked), at + chunk)
                     low = max(0, at - more)
@@ -365,9 +373,9 @@ def encode(docs: DataFrame, model_file: str = MODEL, text: str = "text", giant:
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = _scan(shared)
-        for batch in batches:
-            found = [scan.matrix(r["x"], r["at"], r["to"], r["whole"]) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("n"), pa.array([m.shape[0] for m in found], pa.int32()), pa.array([m.tobytes() for m in found], pa.binary())], ["k", "n", "rows", "m"])
+        for some in chain.from_iterable(common.pieces(batch, "x", 1 << 20) for batch in batches):
+            found = [scan.matrix(r["x"], r["at"], r["to"], r["whole"]) for r in some.to_pylist()]
+            yield pa.RecordBatch.from_arrays([some.column("k"), some.column("n"), pa.array([m.shape[0] for m in found], pa.int32()), pa.array([m.tobytes() for m in found], pa.binary())], ["k", "n", "rows", "m"])
 
     def combine(one: pa.Table) -> pa.Table:
         one = one.sort_by("n")
@@ -377,9 +385,10 @@ def encode(docs: DataFrame, model_file: str = MODEL, text: str = "text", giant:
 
     def traces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = _scan(shared)
-        for batch in batches:
-            ids = [scan.trace(r["x"], r["at"], r["to"], r["entry"], r["exit"], r["whole"]) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("n"), pa.array(ids, pa.list_(pa.int32()))], ["k", "n", "part"])
+        for some in chain.from_iterable(common.pieces(batch, "x", 1 << 20) for batch in batches):
+            ids = [scan.trace(r["x"], r["at"], r["to"], r["entry"], r["exit"], r["whole"]) for r in some.to_pylist()]
+            yield pa.RecordBatch.from_arrays([some.column("k"), some.column("n"), pa.array(ids, pa.list_(pa.int32()))], ["k", "n", "part"])
+        scan.rest()
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = _scan(shared)
