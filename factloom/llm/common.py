@@ -72,3 +72,14 @@ def release() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
     if trim:
         trim(0)
+
+
+#: What operators remember in a worker from task to task.
+REMEMBERED: list[dict] = []
+
+
+def forget() -> None:
+    """For tasks that remember nothing: clears what another operator's tasks have left in this worker."""
+    for x in REMEMBERED:
+        x.clear()
+    release()

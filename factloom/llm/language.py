@@ -49,6 +49,7 @@ def train(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, text: str = "
     """Log-probabilities [language, cell] from all documents of a given language. No documents give equal ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         total = np.zeros((len(languages), _CELLS), np.int64)
         for batch in batches:
             for some in common.pieces(batch, "t", 1 << 20):
@@ -73,6 +74,7 @@ def likelihoods(df: DataFrame, model: np.ndarray, text: Column, keep: list[str],
     into, out = common.free(keep, "own_text"), common.free(keep, "ll")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         table = shared.value
         for batch in batches:
             found = []

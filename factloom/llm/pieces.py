@@ -312,6 +312,7 @@ def borders(matrices: list[np.ndarray]) -> list[int]:
 
 
 _SCANS: dict[int, Scan] = {}
+common.REMEMBERED.append(_SCANS)
 
 
 def _scan(shared) -> Scan:
