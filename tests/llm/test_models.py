@@ -190,6 +190,20 @@ def test_chunks_and_max_plus(scan):
             assert ids == scan.encode(text)
 
 
+def test_pairs_and_runs_equal_merging(scan, monkeypatch):
+    p, rng = scan.p, np.random.default_rng(5)
+    names = sorted(p.id)
+    pairs = [(names[a], names[b]) for a, b in rng.integers(0, len(names), (4000, 2))]
+    pairs += [(x[:k], x[k:]) for x in names[::40] for k in range(1, len(x)) if x[:k] in p.id and x[k:] in p.id]
+    pairs += [(x, x) for x in names[::40]]
+    assert [p.apart(a, b) for a, b in pairs] == [p.merge(a + b) == [a, b] for a, b in pairs]
+    runs = ["▁" + "".join(rng.choice(list("aeinrstaaé"), n)) for n in rng.integers(1, 40, 300)]
+    want = [tuple(p.id[x] for x in p.merge(run)) for run in runs]
+    assert [scan._run(run) for run in runs] == want
+    monkeypatch.setattr(pieces, "SHORT", 0)
+    assert [scan._run(run) for run in runs] == want
+
+
 def test_pieces_in_spark(spark, scan):
     texts = [*odd_texts(), None, odd_texts()[8], odd_texts()[8]]
     df = spark.createDataFrame([(i, t, "n") for i, t in enumerate(texts)], "doc_id long, text string, k string")
