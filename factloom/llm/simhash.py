@@ -11,7 +11,8 @@ data. Within a bucket only links that join its components leave, fewer than it h
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from fractions import Fraction
 from itertools import repeat
 
 import numpy as np
@@ -172,113 +173,165 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, doc: str
 
 
 _SKETCH = 192
+_PARITIES = 1024
 
 
-def _sampled(bits: int, count: int, seed: int) -> list[int]:
-    """Masks of `bits` bits each, as signed longs."""
-    rng, out = np.random.Generator(np.random.PCG64(seed)), []
-    for _ in range(count):
-        on = np.zeros(64, np.uint8)
-        on[rng.permutation(64)[:bits]] = 1
-        out.append(int(np.packbits(on, bitorder="little").view("<i8")[0]))
-    return out
-
+def _frequent(texts: DataFrame, shingle: int, sample: int = 8000, most: int = 100_000) -> np.ndarray:
+    """Codes of shingles frequent in a sample of the distinct texts (column t), rarest first.
 
-def _far(fps: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """Differing bits of fingerprints [n, 2] and one."""
-    return np.bitwise_count(fps ^ one).sum(axis=1)
-
-
-def _leaders(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a bucket's fingerprints [n, 2] to leaders within the radius; leaders are further apart than that."""
-    lead, a, b = [], [], []
-    for at in range(0, len(fps), 4096):
-        some = fps[at : at + 4096]
-        left = np.ones(len(some), bool)
-        for x in lead:
-            near = _far(some, x) <= radius
-            left &= ~near
-            a += [np.broadcast_to(x, (int(near.sum()), 2))]
-            b += [some[near]]
-        while left.any():
-            x = some[int(np.argmax(left))]
-            near = _far(some, x) <= radius
-            left &= ~near
-            near &= (some != x).any(axis=1)
-            a += [np.broadcast_to(x, (int(near.sum()), 2))]
-            b += [some[near]]
-            lead.append(x)
-    return np.concatenate(a), np.concatenate(b)
-
-
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 30, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, component: groups of documents whose sets of word shingles have a Jaccard similarity of `similarity` or more.
-
-    Two independent fingerprints of 64 bits propose pairs, smallest sets of shingle codes (192 of 32 bits) judge them:
-    exactly for shorter texts, with a standard error of 0.03 for longer ones. Covering masks guarantee each pair within
-    four bits. Pairs of similarity 0.8 differ in ten bits of 64, where a guarantee would take 2**11 tables or more, so
-    120 masks of 24 sampled bits, 60 of each fingerprint, stand beside them; they find such a pair with probability
-    0.9 and one of similarity 0.9 with 0.999. Texts without words form no groups. Rows without an id join groups but
-    name none.
+    They only serve to put frequent shingles last in the order of prefixes. Any order gives the same pairs.
     """
-    spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .codes import mix
-
         for batch in batches:
-            one, two, sketches = [], [], []
-            for x in common.texts_of(batch.column("t")):
-                codes = shingle_codes(x, shingle)
-                other = mix(codes)
-                one.append(fingerprint(codes))
-                two.append(fingerprint(other))
-                sketches.append(np.unique((other >> np.uint64(32)).astype("<u4"))[:_SKETCH].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)), pa.array(sketches, pa.binary())], ["doc", "fp", "fp2", "sketch"])
-
-    rows = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("t")).mapInArrow(run, "doc long, fp long, fp2 long, sketch binary")
-    rows = common.cut(rows.withColumn("node", F.when(F.length("sketch") > 0, F.xxhash64("fp", "fp2"))))
-    nodes = common.cut(rows.where("node is not null").groupBy("node", "fp", "fp2").agg(F.min("doc").alias("least"), F.min("sketch").alias("sketch")))
-    cover, first, second = masks(4), _sampled(24, 60, 7), _sampled(24, 60, 8)
-    keys = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(cover + first)]
-    keys += [F.xxhash64(F.lit(1000 + i), F.col("fp2").bitwiseAND(F.lit(m))) for i, m in enumerate(second)]
-    keyed = nodes.select("fp", "fp2", F.explode(F.array(*keys)).alias("key"))
-
-    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
+            for some in common.pieces(batch, "t", 1 << 21):
+                codes = [np.unique(shingle_codes(x, shingle)) for x in common.texts_of(some.column("t"))]
+                yield pa.record_batch({"code": pa.array(np.concatenate(codes).view(np.int64))})
+
+    rate = max(texts.count() // sample, 1)
+    some = texts.where(F.pmod(F.xxhash64(F.lit(91), "t"), F.lit(rate)) == 0).distinct()
+    found = some.mapInArrow(run, "code long").groupBy("code").count().where("count > 2").orderBy(F.desc("count"), "code").limit(most)
+    return found.toArrow().column("code").to_numpy().view(np.uint64)[::-1]
+
+
+def _prefix(codes: np.ndarray, often: np.ndarray, rank: np.ndarray, p: int, q: int) -> np.ndarray:
+    """The first codes of a set, so many that two sets of similarity p / q or more share one; none if only equal sets are."""
+    n = len(codes)
+    if (q - p) * (n + n * q // p) < q + p:
+        return codes[:0]
+    late = np.zeros(n, np.int64)
+    if len(often):
+        at = np.minimum(np.searchsorted(often, codes), len(often) - 1)
+        late = np.where(often[at] == codes, 1 + rank[at], 0)
+    return codes[np.lexsort((codes, late))[: n + 1 + -p * n // q]]
+
+
+def _parities(codes: np.ndarray) -> bytes:
+    """Parities of the counts of codes in each of 1,024 cells: two sets differ in no fewer codes than parities."""
+    ones = np.bincount((codes & np.uint64(_PARITIES - 1)).astype(np.int64), minlength=_PARITIES) & 1
+    return np.packbits(ones.astype(np.uint8)).tobytes()
+
+
+def _may(n: np.ndarray, bits: np.ndarray, m: np.ndarray, other: np.ndarray, p: int, q: int) -> np.ndarray:
+    """False only where sets of n and m codes, with these parities, cannot have similarity p / q."""
+    differ = np.bitwise_count(bits ^ other).sum(axis=1, dtype=np.int64)
+    return (np.minimum(n, m) * q >= np.maximum(n, m) * p) & (differ * (q + p) <= (q - p) * (n + m))
+
+
+def _meetings(placed: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs (a, b) that may be similar, of different components, within each (key, i, j) of rows sorted by these.
+
+    Pairs with the bucket's lead have been judged. Where i <> j, the rows are two blocks of a large bucket, and a
+    pair has a row of each.
+    """
 
-        def pairs(data: pa.Table) -> pa.RecordBatch:
-            key = data.column("key").to_numpy()
-            fps = np.stack([data.column("fp").to_numpy(), data.column("fp2").to_numpy()], axis=1).view(np.uint64)
-            cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-            starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(key)]])
-            two = starts[ends - starts == 2]
-            near = two[np.bitwise_count(fps[two] ^ fps[two + 1]).sum(axis=1) <= radius]
-            a, b = [fps[near]], [fps[near + 1]]
-            for i in np.flatnonzero(ends - starts > 2).tolist():
-                some = fps[starts[i] : ends[i]]
-                x, y = _leaders(some[np.argsort(some[:, 0] ^ np.uint64(int(key[starts[i]]) & (2**64 - 1)))], radius)
-                a.append(x)
-                b.append(y)
-            a, b = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
-            return pa.record_batch({"a": pa.array(a[:, 0].copy()), "a2": pa.array(a[:, 1].copy()), "b": pa.array(b[:, 0].copy()), "b2": pa.array(b[:, 1].copy())})
+    def pairs(data: pa.Table, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        lead, node, root, n, i, j, own = (data.column(x).to_numpy() for x in ("lead", "node", "root", "n", "i", "j", "own"))
+        bits = np.frombuffer(b"".join(data.column("bits").to_pylist()), np.uint64).reshape(len(node), -1)
+        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+            for at in range(s, e, 256):
+                past = min(at + 256, e)
+                able = (root[at:past, None] != root[None, s:e]) & (node[at:past, None] < node[None, s:e]) & (node[at:past] != lead[s])[:, None]
+                able &= np.minimum(n[at:past, None], n[None, s:e]) * q >= np.maximum(n[at:past, None], n[None, s:e]) * p
+                if i[s] != j[s]:
+                    able &= own[at:past, None] != own[None, s:e]
+                x, y = np.nonzero(able)
+                x, y = x + at, y + s
+                near = _may(n[x], bits[x], n[y], bits[y], p, q)
+                yield pa.record_batch({"a": pa.array(node[x[near]]), "b": pa.array(node[y[near]])})
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             data = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            key = data.column("key").to_numpy()
-            last = int(np.searchsorted(key, key[-1]))  # keys are in order
-            if last:
-                yield pairs(data.slice(0, last))
-            rest = data.slice(last)
+            key, i, j = (data.column(x).to_numpy() for x in ("key", "i", "j"))
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            if len(cuts):
+                yield from pairs(data.slice(0, int(cuts[-1])), np.concatenate([[0], cuts[:-1]]), cuts)
+                rest = data.slice(int(cuts[-1]))
+            else:
+                rest = data
         if rest is not None:
-            yield pairs(rest)
+            yield from pairs(rest, np.array([0]), np.array([rest.num_rows]))
+
+    parts = max(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return placed.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+
+def _similar(nodes: DataFrame, judged: Callable[[DataFrame], DataFrame], p: int, q: int, most: int = 2048) -> DataFrame:
+    """node, root: components over all pairs of nodes (node, n, bits, prefix) that judged() keeps.
 
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    found = keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(propose, "a long, a2 long, b long, b2 long")
-    x, y = F.xxhash64("a", "a2"), F.xxhash64("b", "b2")
-    proposed = common.cut(found.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).where("a <> b").distinct())
+    Two sets of similarity p / q share a code of their prefixes. In the bucket of each code all are judged against the
+    smallest node first; then all pairs that are not in one component yet are proposed. Buckets with more nodes than
+    `most` are cut in blocks that meet in pairs.
+    """
+    keyed = nodes.select("node", F.explode("prefix").alias("key"))
+    met = keyed.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("c")).where("c > 1")
+    shared = common.cut(keyed.join(met, "key").select("key", "lead", "c", "node"))
+    about = nodes.select("node", "n", "bits")
+
+    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint64).reshape(-1, _PARITIES // 64) for x in ("bits", "bits2")]
+            near = _may(batch.column("n").to_numpy(), bits[0], batch.column("n2").to_numpy(), bits[1], p, q)
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    stars = shared.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    stars = stars.join(about.withColumnRenamed("node", "a"), "a").join(about.toDF("b", "n2", "bits2"), "b")
+    first = common.cut(judged(common.cut(stars.mapInArrow(may, "a long, b long"))))
+    roots = common.cut(components(first))
+    rooted = shared.where("c > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    blocks = F.ceil(F.col("c") / most).cast("int")
+    placed = rooted.join(mixed, "key").join(about, "node").withColumns({"own": F.pmod(F.xxhash64("node"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    placed = placed.select("key", "lead", "node", "root", "n", "bits", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    second = judged(common.cut(_meetings(placed, p, q)))
+    return components(first.unionByName(second))
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most: int = 2048, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc, component: groups of documents whose sets of word shingles have a Jaccard similarity of `similarity` or more.
+
+    Pairs are complete: of any two sets so similar the first fifth of codes (rarest first) share one, and buckets of
+    one code propose all their pairs but those already joined, those of too different sizes and those whose parities
+    differ too much. Smallest sets of shingle codes (192 of 32 bits) judge them: exactly for shorter texts, with a
+    standard error of 0.03 for longer ones. Texts without words form no groups. Rows without an id join groups but
+    name none.
+    """
+    spark = docs.sparkSession
+    ratio = Fraction(similarity).limit_denominator(1000)
+    p, q = ratio.numerator, ratio.denominator
+    often = _frequent(docs.select(F.col(text).alias("t")), shingle)
+    order = np.argsort(often)
+    late = spark.sparkContext.broadcast((often[order], order))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .codes import mix
+
+        for batch in batches:
+            for some in common.pieces(batch, "t", 1 << 21):
+                one, two, sketches, n, bits, prefix = [], [], [], [], [], []
+                for x in common.texts_of(some.column("t")):
+                    codes = shingle_codes(x, shingle)
+                    other = mix(codes)
+                    one.append(fingerprint(codes))
+                    two.append(fingerprint(other))
+                    sketches.append(np.unique((other >> np.uint64(32)).astype("<u4"))[:_SKETCH].tobytes())
+                    codes = np.unique(codes)
+                    n.append(len(codes))
+                    bits.append(_parities(codes))
+                    prefix.append(_prefix(codes, *late.value, p, q))
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in prefix])]).astype(np.int32)
+                codes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix).view(np.int64)))
+                doc_ = some.column("doc")
+                yield pa.RecordBatch.from_arrays([doc_.combine_chunks() if isinstance(doc_, pa.ChunkedArray) else doc_, pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), codes], ["doc", "fp", "fp2", "sketch", "n", "bits", "prefix"])
+
+    rows = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("t")).mapInArrow(run, "doc long, fp long, fp2 long, sketch binary, n long, bits binary, prefix array<long>")
+    rows = common.cut(rows.withColumn("node", F.when(F.col("n") > 0, F.xxhash64("fp", "fp2"))))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc").alias("least"), F.min(F.struct("n", "bits", "prefix", "sketch")).alias("x"))
+    nodes = common.cut(nodes.select("node", "least", "x.*"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,9 +343,12 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radi
                 good.append(len(both) >= similarity * len(union))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    sketch = nodes.select("node", "sketch")
-    sides = proposed.join(sketch.withColumnsRenamed({"node": "a", "sketch": "s"}), "a").join(sketch.withColumnsRenamed({"node": "b", "sketch": "t"}), "b")
-    joined = components(sides.select("a", "b", "s", "t").mapInArrow(judge, "a long, b long"))
+    def judged(pairs: DataFrame) -> DataFrame:
+        sketch = nodes.select("node", "sketch")
+        sides = pairs.join(sketch.withColumnsRenamed({"node": "a", "sketch": "s"}), "a").join(sketch.withColumnsRenamed({"node": "b", "sketch": "t"}), "b")
+        return sides.select("a", "b", "s", "t").mapInArrow(judge, "a long, b long")
+
+    joined = _similar(nodes, judged, p, q, most)
     named = joined.join(nodes.select("node", "least"), "node")
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     of = named.join(least, "root").select("node", "component")

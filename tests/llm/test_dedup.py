@@ -198,3 +198,38 @@ def test_near_copies_and_clashing_names(spark):
     assert simhash.without_copies(df.limit(0)).count() == 0
     mixed = mixing.mix(df.withColumn("source", df.gone))
     assert mixed.count() == len(rows) and {r.k for r in mixed.collect()} == {2}
+
+
+def shingles(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}
+
+
+def brute_copies(rows):
+    """Components of documents with a similarity of 0.8 or more, in integers."""
+    sets = {i: shingles(t) for i, t in rows}
+    return brute_components([(a, b) for a in sets for b in sets if a <= b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])])
+
+
+def partly(rng, words, share):
+    """The words with a run of them replaced."""
+    n = int(len(words) * share)
+    at = rng.randrange(len(words) - n + 1)
+    return words[:at] + [f"n{rng.randrange(10**6)}" for _ in range(n)] + words[at + n :]
+
+
+def test_near_copies_miss_no_pair(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(150):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([6, 40, 150]))]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(partly(rng, words, rng.uniform(0.03, 0.12))))]
+    template = [f"t{k}" for k in range(100)]
+    for k in range(60):  # about 0.75 from each other; some have a copy at 0.8 or more
+        words = partly(rng, template, 0.08)
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(partly(rng, words, 0.05)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_copies(rows)
+    assert 100 < len(set(want.values())) < 300
+    assert {r.doc: r.component for r in simhash.near_copies(df).collect()} == want
+    assert {r.doc: r.component for r in simhash.near_copies(df, most=16).collect()} == want
