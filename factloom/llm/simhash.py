@@ -172,7 +172,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, doc: str
     return rows.join(of, "fp")
 
 
-_SKETCH = 192
 _PARITIES = 1024
 
 
@@ -296,8 +295,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most
 
     Pairs are complete: of any two sets so similar the first fifth of codes (rarest first) share one, and buckets of
     one code propose all their pairs but those already joined, those of too different sizes and those whose parities
-    differ too much. Smallest sets of shingle codes (192 of 32 bits) judge them: exactly for shorter texts, with a
-    standard error of 0.03 for longer ones. Texts without words form no groups. Rows without an id join groups but
+    differ too much. The whole sets of distinct shingle codes judge them, as integer counts. Texts without words form no groups. Rows without an id join groups but
     name none.
     """
     spark = docs.sparkSession
@@ -312,40 +310,47 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most
 
         for batch in batches:
             for some in common.pieces(batch, "t", 1 << 21):
-                one, two, sketches, n, bits, prefix = [], [], [], [], [], []
+                one, two, n, bits, prefix = [], [], [], [], []
                 for x in common.texts_of(some.column("t")):
                     codes = shingle_codes(x, shingle)
-                    other = mix(codes)
                     one.append(fingerprint(codes))
-                    two.append(fingerprint(other))
-                    sketches.append(np.unique((other >> np.uint64(32)).astype("<u4"))[:_SKETCH].tobytes())
+                    two.append(fingerprint(mix(codes)))
                     codes = np.unique(codes)
                     n.append(len(codes))
                     bits.append(_parities(codes))
                     prefix.append(_prefix(codes, *late.value, p, q))
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in prefix])]).astype(np.int32)
                 codes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix).view(np.int64)))
-                doc_ = some.column("doc")
-                yield pa.RecordBatch.from_arrays([doc_.combine_chunks() if isinstance(doc_, pa.ChunkedArray) else doc_, pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), codes], ["doc", "fp", "fp2", "sketch", "n", "bits", "prefix"])
+                made = [pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), codes]
+                yield pa.RecordBatch.from_arrays([*(some.column(x) for x in ("doc", "digest")), *made], ["doc", "digest", "fp", "fp2", "n", "bits", "prefix"])
 
-    rows = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("t")).mapInArrow(run, "doc long, fp long, fp2 long, sketch binary, n long, bits binary, prefix array<long>")
+    digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+    texts = docs.select(F.col(doc).cast("long").alias("doc"), digest.alias("digest"), F.col(text).alias("t"))
+    rows = texts.mapInArrow(run, "doc long, digest binary, fp long, fp2 long, n long, bits binary, prefix array<long>")
     rows = common.cut(rows.withColumn("node", F.when(F.col("n") > 0, F.xxhash64("fp", "fp2"))))
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc").alias("least"), F.min(F.struct("n", "bits", "prefix", "sketch")).alias("x"))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc").alias("least"), F.min(F.struct("digest", "n", "bits", "prefix")).alias("x"))
     nodes = common.cut(nodes.select("node", "least", "x.*"))
 
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in common.pieces(batch, "t", 1 << 21):
+                codes = [np.unique(shingle_codes(x, shingle)).tobytes() for x in common.texts_of(some.column("t"))]
+                yield pa.RecordBatch.from_arrays([some.column("node"), pa.array(codes, pa.binary())], ["node", "codes"])
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for s, t in zip(batch.column("s").to_pylist(), batch.column("t").to_pylist(), strict=True):
-                s, t = np.frombuffer(s, "<u4"), np.frombuffer(t, "<u4")
-                union = np.union1d(s, t)[: max(_SKETCH if max(len(s), len(t)) == _SKETCH else 0, 0) or None]
-                both = np.intersect1d(np.intersect1d(s, t, assume_unique=True), union, assume_unique=True)
-                good.append(len(both) >= similarity * len(union))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            for s, t in zip(batch.column("s"), batch.column("t"), strict=True):
+                s, t = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                good.append(both * q >= p * (len(s) + len(t) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     def judged(pairs: DataFrame) -> DataFrame:
-        sketch = nodes.select("node", "sketch")
-        sides = pairs.join(sketch.withColumnsRenamed({"node": "a", "sketch": "s"}), "a").join(sketch.withColumnsRenamed({"node": "b", "sketch": "t"}), "b")
+        some = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "digest"), "node")
+        read = texts.select("digest", "t").join(some, "digest").dropDuplicates(["node"])
+        sets = common.cut(read.select("node", "t").mapInArrow(whole, "node long, codes binary"))
+        sides = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
         return sides.select("a", "b", "s", "t").mapInArrow(judge, "a long, b long")
 
     joined = _similar(nodes, judged, p, q, most)

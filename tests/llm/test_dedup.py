@@ -233,3 +233,14 @@ def test_near_copies_miss_no_pair(spark):
     assert 100 < len(set(want.values())) < 300
     assert {r.doc: r.component for r in simhash.near_copies(df).collect()} == want
     assert {r.doc: r.component for r in simhash.near_copies(df, most=16).collect()} == want
+
+
+def test_near_copies_judge_long_texts_on_whole_sets(spark):
+    rng = random.Random(6)
+    rows = []
+    for k in range(80):  # similarity just above and just below 0.8
+        words = [f"w{rng.randrange(9**6)}" for _ in range(900)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(partly(rng, words, (0.1, 0.114)[k % 2])))]
+    want = brute_copies(rows)
+    assert len(set(want.values())) == 120
+    assert {r.doc: r.component for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
