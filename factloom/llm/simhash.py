@@ -295,7 +295,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most
 
     Pairs are complete: of any two sets so similar the first fifth of codes (rarest first) share one, and buckets of
     one code propose all their pairs but those already joined, those of too different sizes and those whose parities
-    differ too much. The whole sets of distinct shingle codes judge them, as integer counts. Texts without words form no groups. Rows without an id join groups but
+    differ too much. The whole sets of distinct shingle codes judge them, as integer counts. Only texts
+    with equal sets (a digest of 64 bits) go unjudged. Texts without words form no groups. Rows without an id join groups but
     name none.
     """
     spark = docs.sparkSession
@@ -306,28 +307,23 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most
     late = spark.sparkContext.broadcast((often[order], order))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .codes import mix
-
         for batch in batches:
             for some in common.pieces(batch, "t", 1 << 21):
-                one, two, n, bits, prefix = [], [], [], [], []
+                node, n, bits, prefix = [], [], [], []
                 for x in common.texts_of(some.column("t")):
-                    codes = shingle_codes(x, shingle)
-                    one.append(fingerprint(codes))
-                    two.append(fingerprint(mix(codes)))
-                    codes = np.unique(codes)
+                    codes = np.unique(shingle_codes(x, shingle))
+                    node.append(xxhash.xxh3_64_intdigest(codes.tobytes()))
                     n.append(len(codes))
                     bits.append(_parities(codes))
                     prefix.append(_prefix(codes, *late.value, p, q))
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in prefix])]).astype(np.int32)
                 codes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix).view(np.int64)))
-                made = [pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), codes]
-                yield pa.RecordBatch.from_arrays([*(some.column(x) for x in ("doc", "digest")), *made], ["doc", "digest", "fp", "fp2", "n", "bits", "prefix"])
+                made = [pa.array(np.array(node, np.uint64).view(np.int64), mask=np.array(n) == 0), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), codes]
+                yield pa.RecordBatch.from_arrays([*(some.column(x) for x in ("doc", "digest")), *made], ["doc", "digest", "node", "n", "bits", "prefix"])
 
     digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
     texts = docs.select(F.col(doc).cast("long").alias("doc"), digest.alias("digest"), F.col(text).alias("t"))
-    rows = texts.mapInArrow(run, "doc long, digest binary, fp long, fp2 long, n long, bits binary, prefix array<long>")
-    rows = common.cut(rows.withColumn("node", F.when(F.col("n") > 0, F.xxhash64("fp", "fp2"))))
+    rows = common.cut(texts.mapInArrow(run, "doc long, digest binary, node long, n long, bits binary, prefix array<long>"))
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc").alias("least"), F.min(F.struct("digest", "n", "bits", "prefix")).alias("x"))
     nodes = common.cut(nodes.select("node", "least", "x.*"))
 

@@ -244,3 +244,13 @@ def test_near_copies_judge_long_texts_on_whole_sets(spark):
     want = brute_copies(rows)
     assert len(set(want.values())) == 120
     assert {r.doc: r.component for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
+def test_near_copies_count_repeated_shingles_once(spark):
+    rng = random.Random(7)
+    rows = [(k, " ".join(["na"] * 200 + [f"w{rng.randrange(9**6)}" for _ in range(60)])) for k in range(20)]
+    words = [f"v{k}" for k in range(80)]
+    rows += [(30, " ".join(words)), (31, " ".join(words + words[:9] * 40))]
+    want = brute_copies(rows)
+    assert want[31] == 30 and len(set(want.values())) == 21
+    assert {r.doc: r.component for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
