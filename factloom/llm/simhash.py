@@ -18,7 +18,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -290,15 +290,8 @@ def _similar(nodes: DataFrame, judged: Callable[[DataFrame], DataFrame], p: int,
     return components(first.unionByName(second))
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most: int = 2048, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, component: groups of documents whose sets of word shingles have a Jaccard similarity of `similarity` or more.
-
-    Pairs are complete: of any two sets so similar the first fifth of codes (rarest first) share one, and buckets of
-    one code propose all their pairs but those already joined, those of too different sizes and those whose parities
-    differ too much. The whole sets of distinct shingle codes judge them, as integer counts. Only texts
-    with equal sets (a digest of 64 bits) go unjudged. Texts without words form no groups. Rows without an id join groups but
-    name none.
-    """
+def _grouped(docs: DataFrame, shingle: int, similarity: float, most: int, doc: str, text: str) -> DataFrame:
+    """doc, digest (of the text), node (null without words), first: of its group the smallest id, then digest; no id is last."""
     spark = docs.sparkSession
     ratio = Fraction(similarity).limit_denominator(1000)
     p, q = ratio.numerator, ratio.denominator
@@ -321,10 +314,9 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most
                 made = [pa.array(np.array(node, np.uint64).view(np.int64), mask=np.array(n) == 0), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), codes]
                 yield pa.RecordBatch.from_arrays([*(some.column(x) for x in ("doc", "digest")), *made], ["doc", "digest", "node", "n", "bits", "prefix"])
 
-    digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
-    texts = docs.select(F.col(doc).cast("long").alias("doc"), digest.alias("digest"), F.col(text).alias("t"))
+    texts = docs.select(F.col(doc).cast("long").alias("doc"), _digest(text).alias("digest"), F.col(text).alias("t"))
     rows = common.cut(texts.mapInArrow(run, "doc long, digest binary, node long, n long, bits binary, prefix array<long>"))
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc").alias("least"), F.min(F.struct("digest", "n", "bits", "prefix")).alias("x"))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "digest")).alias("least"), F.min(F.struct("digest", "n", "bits", "prefix")).alias("x"))
     nodes = common.cut(nodes.select("node", "least", "x.*"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,30 +343,49 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most
 
     joined = _similar(nodes, judged, p, q, most)
     named = joined.join(nodes.select("node", "least"), "node")
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
-    of = named.join(least, "root").select("node", "component")
-    of = nodes.join(of, "node", "left").select("node", F.coalesce("component", "least").alias("component"))
-    return rows.select("doc", "node").join(of, "node", "left").select("doc", F.when(F.col("node").isNull(), F.col("doc")).otherwise(F.col("component")).alias("component"))
+    least = named.groupBy("root").agg(F.min("least").alias("first"))
+    of = named.join(least, "root").select("node", "first")
+    of = nodes.join(of, "node", "left").select("node", F.coalesce("first", "least").alias("first"))
+    return rows.select("doc", "digest", "node").join(of, "node", "left")
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most: int = 2048, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc, component: groups of documents whose sets of word shingles have a Jaccard similarity of `similarity` or more.
+
+    Pairs are complete: of any two sets so similar the first fifth of codes (rarest first) share one, and buckets of
+    one code propose all their pairs but those already joined, those of too different sizes and those whose parities
+    differ too much. The whole sets of distinct shingle codes judge them, as integer counts. Only texts
+    with equal sets (a digest of 64 bits) go unjudged. Texts without words form no groups. Rows without an id join groups but
+    name none.
+    """
+    found = _grouped(docs, shingle, similarity, most, doc, text)
+    return found.select("doc", F.when(F.col("node").isNull(), F.col("doc")).otherwise(F.col("first.doc")).alias("component"))
+
+
+def _digest(text: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
 def without_copies(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Of each group of near copies the document of smallest id; of repeated ids one row.
 
-    A row without an id goes if its group has an id, and stays else, for nothing tells such rows apart.
+    A group without ids keeps the row whose text has the smallest digest, one of equal rows. Rows without id and
+    without words are in no group and stay.
     """
-    found = common.cut(near_copies(docs, doc=doc, text=text))
-    gone = found.where("doc <> component").select(F.col("doc").alias("gone")).distinct()
-    kept = docs.join(gone, docs[doc] == gone["gone"], "left_anti")
-    counts = found.agg(F.count("doc"), F.countDistinct("doc")).first()
-    if counts[0] != counts[1]:
-        first = Window.partitionBy(doc).orderBy(F.md5(F.coalesce(F.col(text), F.lit(""))))
-        at = common.free(docs.columns, "at")
-        kept = kept.withColumn(at, F.when(F.col(doc).isNull(), 1).otherwise(F.row_number().over(first))).where(F.col(at) == 1).drop(at)
-    if not found.where("doc is null and component is not null").isEmpty():
-        marks = docs.where(F.col(doc).isNull())
-        alone = near_copies(docs, doc=doc, text=text).where("doc is null and component is null").count()
-        kept = kept.where(F.col(doc).isNotNull()).unionByName(marks.limit(alone))
-    return kept
+    found = common.cut(_grouped(docs, 5, 0.8, 2048, doc, text))
+    first = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("digest") == F.col("first.digest"))
+    gone = found.where(F.col("node").isNotNull() & ~first).select(F.col("doc").alias("gone__"), F.col("digest").alias("gone_digest__")).distinct()
+    names = docs.columns
+    own, at = common.free(names, "own_digest"), common.free(names, "at")
+    kept = docs.withColumn(own, _digest(text)).join(gone, F.col(doc).eqNullSafe(F.col("gone__")) & (F.col(own) == F.col("gone_digest__")), "left_anti")
+    ids = found.agg(F.count("doc"), F.countDistinct("doc")).first()
+    same = found.where(F.col("doc").isNull() & F.col("node").isNotNull() & first).groupBy("digest").count().where("count > 1")
+    if ids[0] != ids[1] or not same.isEmpty():
+        no_words = F.col(doc).isNull() & ~F.coalesce(F.col(text), F.lit("")).rlike("[^ \\t\\n\\x0B\\f\\r]")
+        line = Window.partitionBy(doc, F.when(F.col(doc).isNull(), F.col(own))).orderBy(own, F.to_json(F.struct(*[F.col(f"`{x}`") for x in names])))
+        one = kept.where(~no_words).withColumn(at, F.row_number().over(line)).where(F.col(at) == 1).drop(at)
+        kept = one.unionByName(kept.where(no_words))
+    return kept.drop(own)
 
 
 def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

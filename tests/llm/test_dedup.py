@@ -254,3 +254,17 @@ def test_near_copies_count_repeated_shingles_once(spark):
     want = brute_copies(rows)
     assert want[31] == 30 and len(set(want.values())) == 21
     assert {r.doc: r.component for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
+def test_copies_without_ids(spark):
+    rng = random.Random(8)
+    new = lambda: [f"w{rng.randrange(9**6)}" for _ in range(100)]
+    join = " ".join
+    named, alone, other = new(), new(), new()
+    rows = [(1, join(named), "a"), (None, join(partly(rng, named, 0.03)), "b"), (None, join(named), "c")]
+    rows += [(None, join(alone), "d"), (None, join(alone), "e"), (None, join(partly(rng, alone, 0.03)), "f"), (None, join(other), "g")]
+    rows += [(None, None, "h"), (None, " ", "i"), (None, None, "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    least = min((hashlib.md5(t.encode()).hexdigest(), s) for _, t, s in rows[3:6])[1]
+    for some in (df, df.repartition(5).orderBy("text")):
+        assert sorted(r.source for r in simhash.without_copies(some).collect()) == sorted(["a", least, "g", "h", "h", "i"])
