@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
-Targets are filled like water: each source gets words by weight until it holds `most` times its own. Equal-token
-blocks are then dealt to sources by highest quotients (target / 1, / 3, / 5, ...), and a source's blocks to its
-shards the same way by the shards' sizes, so that every quota is an integer and the quotas add up. A shard lays its
+Targets are filled like water: each source gets words by weight until it holds `most` times its own. Words are then
+dealt to sources by highest quotients (target / 1, / 3, / 5, ...), and a source's words to its shards the same way,
+in equal blocks, by the shards' sizes and up to what each can give; what is left is a part of a block. So every quota
+is an integer and the quotas add up. A source has a shard for each 2,000 blocks of its own words. A shard lays its
 documents in a seeded order on one line of words and takes its blocks from the start of that line, round again where
 it takes more than it has.
 """
@@ -53,6 +54,36 @@ def sainte_lague(votes: np.ndarray, seats: int) -> np.ndarray:
     return got
 
 
+def bounded(votes: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
+    """Seats by highest quotients, where none has more than its `most`; what is above is dealt again."""
+    out, open_ = np.zeros(len(votes), np.int64), (most > 0) & (votes > 0)
+    left = min(seats, int(most[open_].sum()))
+    while left and open_.any():
+        got = np.zeros(len(votes), np.int64)
+        got[open_] = sainte_lague(votes[open_], left)
+        over = open_ & (got > most)
+        if not over.any():
+            return out + got
+        out[over] = most[over]
+        left -= int(most[over].sum())
+        open_ &= ~over
+    return out
+
+
+def deal(sizes: np.ndarray, total: int, most: int, block: int) -> np.ndarray:
+    """Words of `total` for each shard, most * size at most: whole blocks, then the rest where most room is left."""
+    room = most * sizes.astype(np.int64)
+    out = bounded(sizes, total // block, room // block) * block
+    left = min(total, int(room.sum())) - int(out.sum())
+    for i in np.argsort(out - room, kind="stable"):
+        more = min(left, int(room[i] - out[i]))
+        out[i] += more
+        left -= more
+        if not left:
+            break
+    return out
+
+
 def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int = 2, block: int = 512, seed: int = 17, doc: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Adds size, source_size, target and taken to each document.
 
@@ -62,28 +93,30 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5.0,
     An empty table gives an empty table. Columns of the names added are replaced.
     """
     docs = docs.drop("size", "source_size", "target", "taken")
-    n_shards = min(max(docs.count() // 2000, 1), 4096)
     names = docs.columns
     has, shard, at, quota, gap = (common.free(names, x) for x in ("has_source", "shard", "at", "quota", "source_key"))
     order = F.xxhash64(F.lit(seed), F.col(doc), F.md5(F.coalesce(F.col(text), F.lit(""))))
     sized = docs.withColumns({"size": F.size(common.words(F.col(text))).cast("long"), has: F.col(source).isNotNull(), gap: F.coalesce(F.col(source), F.lit("")), at: order})
-    sized = sized.withColumn(shard, F.pmod(F.col(at), F.lit(n_shards)).cast("int"))
     rows = sized.groupBy(has, gap).agg(F.sum("size").alias("source_size"))
-    shards = sized.groupBy(has, gap, shard).agg(F.sum("size").alias("shard_size"))
 
     def targets(all_: pd.DataFrame) -> pd.DataFrame:
         all_ = all_.assign(code=[x.encode("utf-8") for x in all_.k]).sort_values(["h", "code"], ascending=[False, True], kind="stable")
         votes = np.array([weights[i % len(weights)] for i in range(len(all_))])
         total = int(all_.source_size.sum())
         target = fill(all_.source_size.to_numpy(), votes, share * total, most)
-        blocks = sainte_lague(target, round(target.sum() / block))
-        return all_.assign(target=target, blocks=blocks)[["h", "k", "source_size", "target", "blocks"]]
-
-    goal = rows.select(F.lit(0).alias("all"), F.col(has).alias("h"), F.col(gap).alias("k"), "source_size").groupBy("all").applyInPandas(targets, "h boolean, k string, source_size long, target double, blocks long")
+        words = bounded(target, round(target.sum()), most * all_.source_size.to_numpy())
+        shards = np.clip(all_.source_size.to_numpy() // (2000 * block), 1, 4096)
+        return all_.assign(target=target, words=words, shards=shards)[["h", "k", "source_size", "target", "words", "shards"]]
+
+    goal = rows.select(F.lit(0).alias("all"), F.col(has).alias("h"), F.col(gap).alias("k"), "source_size").groupBy("all").applyInPandas(targets, "h boolean, k string, source_size long, target double, words long, shards long")
+    number = F.broadcast(goal.select(F.col("h").alias("h_"), F.col("k").alias("k_"), F.col("shards").alias(shard)))  # as many as sources
+    sized = sized.join(number, (F.col(has) == F.col("h_")) & (F.col(gap) == F.col("k_"))).drop("h_", "k_")
+    sized = sized.withColumn(shard, F.pmod(F.col(at), F.col(shard)).cast("int"))
+    shards = sized.groupBy(has, gap, shard).agg(F.sum("size").alias("shard_size"))
 
     def quotas(one: pd.DataFrame) -> pd.DataFrame:
         one = one.sort_values("s", kind="stable")
-        return one.assign(quota=sainte_lague(one.shard_size.to_numpy(), int(one.blocks.iloc[0])))[["h", "k", "s", "source_size", "target", "quota"]]
+        return one.assign(quota=deal(one.shard_size.to_numpy(), int(one.words.iloc[0]), most, block))[["h", "k", "s", "source_size", "target", "quota"]]
 
     parts = shards.select(F.col(has).alias("h"), F.col(gap).alias("k"), F.col(shard).alias("s"), "shard_size").join(goal, ["h", "k"])
     dealt = parts.groupBy("h", "k").applyInPandas(quotas, "h boolean, k string, s int, source_size long, target double, quota long").toDF("h__", "k__", "s__", "source_size", "target", quota)
@@ -93,7 +126,7 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5.0,
     ends, all_words = common.free(names, "line_end"), common.free(names, "line_size")
     laid = sized.withColumns({ends: past, all_words: whole})
     both = laid.join(dealt, (F.col(has) == F.col("h__")) & (F.col(gap) == F.col("k__")) & (F.col(shard) == F.col("s__")))
-    want = F.least(F.col(quota) * block, F.lit(most) * F.col(all_words))
+    want = F.col(quota)
     rounds = F.when(F.col(all_words) > 0, F.floor(want / F.col(all_words))).otherwise(0)
     rest = want - rounds * F.col(all_words)
     extra = F.least(F.greatest(rest - (F.col(ends) - F.col("size")), F.lit(0)), F.col("size"))

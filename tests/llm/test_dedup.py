@@ -268,3 +268,17 @@ def test_copies_without_ids(spark):
     least = min((hashlib.md5(t.encode()).hexdigest(), s) for _, t, s in rows[3:6])[1]
     for some in (df, df.repartition(5).orderBy("text")):
         assert sorted(r.source for r in simhash.without_copies(some).collect()) == sorted(["a", least, "g", "h", "h", "i"])
+
+
+def test_mixing_meets_targets_of_small_sources(spark):
+    rows = [(i, "one two three four five", "s1", "x") for i in range(12000)]
+    rows += [(20000 + i, "w " * (30 + i % 40), "s0", "x") for i in range(60)] + [(30000, "w " * 40, "s2", "x")]
+    df = spark.createDataFrame(rows, DOC)
+    got = mixing.mix(df).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+    assert len(got) == 3 and all(abs(r["sum(taken)"] - r["max(target)"]) <= 1 for r in got)
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        sizes, block = rng.integers(0, 90, rng.integers(1, 9)), int(rng.integers(1, 60))
+        total = int(rng.integers(0, 2 * sizes.sum() + 1))
+        words = mixing.deal(sizes, total, 2, block)
+        assert words.sum() == total and (words <= 2 * sizes).all() and (words >= 0).all()
