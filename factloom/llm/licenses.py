@@ -7,6 +7,8 @@ are looked up the same way among known one-line notices.
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,10 @@ TEXTS = {
     "BSD-2-Clause": [f"{_BSD_START}\n{_BSD_END}", f"BSD 2-Clause License\n{_BSD_START}\n{_BSD_END}"],
     "BSD-3-Clause": [f"{head}{_BSD_START}\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n{_BSD_END}" for head in ("", "BSD 3-Clause License\n")],
 }
+_END = "END OF TERMS AND CONDITIONS"
+for _file in sorted(resources.files(__package__).joinpath("texts").iterdir(), key=lambda x: x.name):  # as Debian ships them; also without what follows the terms
+    _text = _file.read_text("utf-8")
+    TEXTS.setdefault(_file.name.removesuffix(".txt"), []).extend([_text] + ([_text[: _text.index(_END) + len(_END)]] if _END in _text else []))
 
 
 def normalized(text: Column) -> Column:

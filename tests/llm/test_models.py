@@ -1,3 +1,4 @@
+import pathlib
 import random
 
 import numpy as np
@@ -243,3 +244,11 @@ def test_neighbours(spark):
     assert neighbours.search(df.limit(0)).count() == 0
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.5]), (0, [1.0, 2.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.vec_id) for r in neighbours.search(few).collect()] == [(0, 1)]
+
+
+def test_entire_texts_of_usual_licences(spark):
+    folder = pathlib.Path(licenses.__file__).parent / "texts"
+    want = {x.name.removesuffix(".txt"): x.read_text() for x in folder.iterdir()}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= set(want)
+    rows = [(name, some) for name, x in want.items() for some in (x, " ".join(x.upper().split(" ")))]
+    assert all(r.license_id == r.name for r in licenses.scan(spark.createDataFrame(rows, "name string, text string")).collect())
