@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -46,12 +47,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = context.getCheckpointDir() or tempfile.mkdtemp(prefix="factloom-")
+        named = context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="factloom-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
     return named
 
 
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of a few MB: rows of texts are long, and both the JVM and the worker hold whole batches."""
+    name, most = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+    if spark.conf.get(name) == "67108864b":  # nobody has chosen another bound
+        spark.conf.set(name, str(most))
+
+
+def small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """df (a checkpoint or table of short rows), to be broadcast if it has `most` rows or fewer; else it is shuffled."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files and checkpoints of what no variable holds any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes a checkpoint that all executors share, so that lost executors cost no rework."""
     checkpoint_dir(df.sparkSession)

@@ -50,15 +50,28 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def components(links: DataFrame) -> DataFrame:
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, root of all links at once."""
+    held = [x for x in batches if x.num_rows]
+    if held:
+        data = pa.Table.from_batches(held)
+        node, root = forest(data.column("a").to_numpy(), data.column("b").to_numpy())
+        top = np.unique(root)
+        yield pa.record_batch({"node": pa.array(np.concatenate([node, top])), "root": pa.array(np.concatenate([root, top]))})
+
+
+def components(links: DataFrame, most: int = 500_000) -> DataFrame:
     """node, root (the smallest node that it reaches) for each node of links (a, b: long, without nulls).
 
-    Large-star and small-star steps in turn, each an aggregate of minima and a join, until nothing changes; a hub
-    costs an aggregate one row for each task, and the join may be split by AQE. Repeated links and links of a
+    Each task first replaces its links by a forest. If `most` links or fewer are left, one task (on an executor) joins
+    them; else large-star and small-star steps in turn, each an aggregate of minima and a join, until nothing changes;
+    a hub costs an aggregate one row for each task, and the join may be split by AQE. Repeated links and links of a
     node to itself do no harm. No links give no rows.
     """
     kind = "a long, b long"
     links = common.cut(links.where("a <> b").mapInArrow(_contract, kind).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if links.limit(most + 1).count() <= most:
+        return links.coalesce(1).mapInArrow(_whole, "node long, root long")
     state = None
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -6,15 +6,17 @@ Log-odds of a row's language are the sum of
 - the declared language's likelihood (of the mark-up or a column) and the address suffix's, each from a confusion
   table that grouped aggregation fills with the texts' own posteriors, smoothed towards agreement;
 - the host's prior: posteriors summed by host, by domain, by suffix and over all, each level smoothed by the one
-  above. A row's own posterior is taken out of its host's sum.
+  above. A row's own posterior is taken out of the sums of every level, so its text counts once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,101 +70,145 @@ def train(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, text: str = "
     return np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
+def _scores(texts: pa.RecordBatch | pa.Table, column: str, table: np.ndarray, most: int) -> np.ndarray:
+    """Scaled log-likelihoods [row, language]; zero for a text without letters."""
+    found = [np.zeros((0, len(table)))]
+    for some in common.pieces(texts, column, 1 << 20):
+        cells, starts = _trigrams([_letters(x) for x in some.column(column).to_pylist()])
+        n = np.diff(np.append(starts, len(cells)))
+        sums = np.zeros((len(n), len(table)))
+        full = np.flatnonzero(n)
+        if len(full):
+            for k, row in enumerate(table):
+                sums[full, k] = np.add.reduceat(row[cells].astype(np.float64), starts[full])
+        found.append(sums * np.minimum(1, most / np.maximum(n, 1))[:, None])
+    return np.concatenate(found)
+
+
+def _lists(values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.reshape(-1)))
+
+
+def _matrix(column: pa.Array, k: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+
+
 def likelihoods(df: DataFrame, model: np.ndarray, text: Column, keep: list[str], most: int = 200) -> DataFrame:
-    """keep, and ll: scaled log-likelihoods of a text by language (all zero for a text without letters)."""
+    """keep, and ll (renamed where keep has it): scaled log-likelihoods of a text by language."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # of fixed size
     into, out = common.free(keep, "own_text"), common.free(keep, "ll")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.forget()
-        table = shared.value
         for batch in batches:
-            found = []
-            for some in common.pieces(batch, into, 1 << 20):
-                cells, starts = _trigrams([_letters(x) for x in some.column(into).to_pylist()])
-                n = np.diff(np.append(starts, len(cells)))
-                sums = np.zeros((len(n), len(table)))
-                full = np.flatnonzero(n)
-                if len(full):
-                    for k, row in enumerate(table):
-                        sums[full, k] = np.add.reduceat(row[cells].astype(np.float64), starts[full])
-                found.append(sums * np.minimum(1, most / np.maximum(n, 1))[:, None])
-            sums = np.concatenate(found) if found else np.zeros((0, len(table)))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1) * len(table), pa.int32()), pa.array(sums.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], lists], [*keep, out])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], _lists(_scores(batch, into, shared.value, most))], [*keep, out])
 
     return df.select(*keep, text.alias(into)).mapInArrow(run, df.select(*keep).schema.add(out, T.ArrayType(T.DoubleType())))
 
 
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+def _softmax(scores: np.ndarray) -> np.ndarray:
+    parts = np.exp(scores - scores.max(axis=1, keepdims=True))
+    return parts / parts.sum(axis=1, keepdims=True)
 
 
-def _softmax(df: DataFrame, scores: str, into: str) -> DataFrame:
-    """Adds probabilities from log-scores; each step is a column of its own, so that it is computed once."""
-    df = df.withColumn("top_", F.array_max(scores)).withColumn("parts_", F.transform(scores, lambda x: F.exp(x - F.col("top_"))))
-    return df.withColumn("all_", _total(F.col("parts_"))).withColumn(into, F.transform("parts_", lambda x: x / F.col("all_"))).drop("top_", "parts_", "all_")
+@dataclass
+class Evidence:
+    """What the corpus says besides a row's text: sums of posteriors over all, and log P(clue | language) [clue, language]."""
 
+    overall: np.ndarray
+    declared: np.ndarray
+    suffix: np.ndarray
 
-def _smoothed(sums: Column, above: Column, n: Column, strength: float) -> Column:
-    return F.zip_with(sums, above, lambda x, p: (x + strength * p) / (n + strength))
+    def posterior(self, ll: np.ndarray, host: np.ndarray, levels: np.ndarray, declared: np.ndarray, suffix: np.ndarray, strength: float) -> np.ndarray:
+        """Posteriors [row, language].
+
+        host: whether a row has one; levels: sums [row, level, language] of its suffix, domain and host; declared and
+        suffix: number of the language that a clue names, -1 for none. A row's own posterior leaves every sum first.
+        """
+        own = _softmax(ll)
+        prior = np.maximum(self.overall - own, 0) + 1.0
+        prior /= prior.sum(axis=1, keepdims=True)
+        for level in range(levels.shape[1]):
+            left = np.maximum(levels[:, level] - own, 0)
+            smoothed = (left + strength * prior) / (left.sum(axis=1, keepdims=True) + strength)
+            prior = np.where(host[:, None], smoothed, prior)
+        clues = [np.concatenate([table, np.zeros((1, ll.shape[1]))])[at] for table, at in ((self.declared, declared), (self.suffix, suffix))]
+        return _softmax(ll + clues[0] + clues[1] + np.log(prior))
 
 
 def identify(
     rows: DataFrame, model: np.ndarray, text: Column, declared: Column, host: Column, languages: tuple[str, ...] = LANGUAGES,
-    sure: float = 0.6, strength: float = 5.0, keep: list[str] | None = None,
+    sure: float = 0.6, strength: float = 5.0, keep: list[str] | None = None, most: int = 200,
 ) -> DataFrame:
     """keep (all columns unless given), language, confidence and posterior (by language, in the order of `languages`).
 
     language is "und" where no posterior reaches `sure`. A null or empty text has no say, nor has a null or unknown
     declared language; rows without a host share the prior over all. Repeated rows are judged alike.
-    An empty table gives an empty table. Columns of the names added are replaced.
+    An empty table gives an empty table. Columns of the names added are replaced; other names never clash.
+
+    With `keep` each text is read once, and what is kept is written with its likelihoods; else texts are read twice
+    and never written. Up to 50,000 hosts are broadcast; beyond that rows are joined by host (AQE splits hot ones).
     """
-    k, added = len(languages), ("language", "confidence", "posterior")
-    keep = [c for c in (keep or rows.columns) if c.lower() not in added]
-    h, d, p, ll = (common.free([*keep, *rows.columns], x) for x in ("host_of", "declared_of", "suffix_of", "ll"))
+    spark = rows.sparkSession
+    common.bounded(spark)
+    k, added, thin = len(languages), ("language", "confidence", "posterior"), keep is not None
+    keep = [c for c in (keep if thin else rows.columns) if c.lower() not in added]
+    names = [*keep, *rows.columns, *added]
+    h, d, p, into, every, at = (common.free(names, x) for x in ("host_of", "declared_of", "suffix_of", "own_text", "every_level", "host_key"))
     said = F.lower(F.substring(F.coalesce(declared, F.lit("")), 1, 2))
     place = F.lower(F.regexp_replace(F.coalesce(host, F.lit("")), ":[0-9]*$", ""))
     suffix = F.regexp_extract(place, r"\.([a-z]+)$", 1)
     spoken = F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv])[suffix]
     clue = lambda c: F.when(c.isin(*languages), c).otherwise(F.lit(""))
     marked = rows.withColumns({h: place, d: clue(said), p: clue(F.coalesce(spoken, F.lit("")))})
-    light = likelihoods(marked, model, text, [h, d, p])
-    sums = [F.sum(F.col("own")[i]).alias(f"s{i}") for i in range(k)]
-    host_sums = _softmax(light, "ll", "own").groupBy(h, d, p).agg(*sums)
-    host_sums = common.cut(host_sums)  # one row for a host and clue
+    held = likelihoods(marked, model, text, [*keep, h, d, p], most)
+    ll = held.columns[-1]
+    if thin:
+        held = common.cut(held)
+    told = spark.sparkContext.broadcast(model)  # of fixed size
+
+    def posteriors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
+        for batch in batches:
+            own = _softmax(_matrix(batch.column("x"), k) if thin else _scores(batch, "x", told.value, most))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in "hdp"), *(pa.array(own[:, i]) for i in range(k))], [*"hdp", *(f"s{i}" for i in range(k))])
+
+    light = (held.withColumn(into, F.col(ll)) if thin else marked.withColumn(into, text)).select(F.col(h).alias("h"), F.col(d).alias("d"), F.col(p).alias("p"), F.col(into).alias("x"))
+    kind = "h string, d string, p string" + "".join(f", s{i} double" for i in range(k))
     again = [F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]
+    host_sums = common.cut(light.mapInArrow(posteriors, kind).groupBy("h", "d", "p").agg(*again))  # one row for a host and clue
 
-    def confusion(column: str) -> Column:
-        """Map from a clue to log P(clue | language), from soft counts of (clue, language)."""
+    def confusion(column: str) -> np.ndarray:
+        """log P(clue | language), from soft counts of (clue, language)."""
         table = {r[0]: r[1:] for r in host_sums.where(F.col(column) != "").groupBy(column).agg(*again).collect()}  # a row for each language
         counts = np.array([[table.get(c, (0.0,) * k)[i] or 0.0 for i in range(k)] for c in languages])
         counts += 2.0 + 18.0 * np.eye(k)
-        logs = np.log(counts / counts.sum(axis=0))
-        entries = {"": [0.0] * k, **{c: logs[j].tolist() for j, c in enumerate(languages)}}
-        return F.create_map(*[x for c, v in entries.items() for x in (F.lit(c), F.array(*map(F.lit, v)))])
-
-    declared_map, suffix_map = confusion(d), confusion(p)
-    every = host_sums.agg(*again).first()
-    total = np.array([x or 0.0 for x in every]) + 1.0
-    overall = F.array(*[F.lit(float(x)) for x in total / total.sum()])
-    domain = F.regexp_extract(F.col(h), r"([^.]+\.[^.]+)$", 1)
-    levels = host_sums.groupBy(h).agg(*again).select(F.col(h).alias("h"), domain.alias("domain"), F.regexp_extract(h, r"\.([^.]+)$", 1).alias("suffix"), F.array(*[F.col(f"s{i}") for i in range(k)]).alias("sums")).withColumn("above", overall)
+        return np.log(counts / counts.sum(axis=0))
+
+    overall = np.array([x or 0.0 for x in host_sums.agg(*again).first()])
+    evidence = spark.sparkContext.broadcast((Evidence(overall, confusion("d"), confusion("p")), model))  # of fixed size
+    levels = host_sums.groupBy("h").agg(F.array(*[F.sum(f"s{i}") for i in range(k)]).alias("host"))
+    levels = levels.withColumns({"domain": F.regexp_extract("h", r"([^.]+\.[^.]+)$", 1), "suffix": F.regexp_extract("h", r"\.([^.]+)$", 1)})
     for name in ("suffix", "domain"):
-        up = levels.groupBy(name).agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(k)]).alias("up"))
-        levels = levels.join(up, name).withColumn("n", _total(F.col("up"))).withColumn("above", _smoothed(F.col("up"), F.col("above"), F.col("n"), strength)).drop("up", "n")
-    hosts = common.cut(levels.select("h", "above", "sums"))
-    names = [*keep, h, d, p, ll]
-    scored = likelihoods(marked, model, text, [*keep, h, d, p])
-    own, left, prior = (common.free(names, x) for x in ("own", "left", "prior"))
-    both = _softmax(scored, ll, own).join(hosts.withColumnsRenamed({"h": "h__", "above": "above__", "sums": "sums__"}), F.col(h) == F.col("h__"))
-    both = both.withColumn(left, F.zip_with("sums__", own, lambda x, y: F.greatest(x - y, F.lit(0.0)))).withColumn("n__", _total(F.col(left)))
-    both = both.withColumn(prior, F.when(F.col(h) == "", overall).otherwise(_smoothed(F.col(left), F.col("above__"), F.col("n__"), strength)))
-    plus = lambda x, y: x + y
-    both = both.withColumn("fused__", F.zip_with(F.zip_with(ll, declared_map[F.col(d)], plus), F.zip_with(suffix_map[F.col(p)], F.transform(prior, lambda x: F.log(x)), plus), plus))
-    judged = _softmax(both, "fused__", "posterior").withColumn("confidence", F.array_max("posterior"))
-    best = F.array(*map(F.lit, languages))[(F.array_position("posterior", F.col("confidence")) - 1).cast("int")]
-    return judged.withColumn("language", F.when(F.col("confidence") >= sure, best).otherwise(F.lit("und"))).select(*keep, "language", "confidence", "posterior")
+        up = levels.groupBy(name).agg(F.array(*[F.sum(F.col("host")[i]) for i in range(k)]).alias(f"{name}_sums"))
+        levels = levels.join(up, name)
+    hosts = common.small(common.cut(levels.select(F.col("h").alias(at), F.concat("suffix_sums", "domain_sums", "host").alias(every))), 50_000)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
+        known, table = evidence.value
+        for batch in batches:
+            scores = _matrix(batch.column(ll), k) if thin else _scores(batch, into, table, most)
+            named = [pc.fill_null(pc.index_in(batch.column(c), pa.array(languages)), -1).to_numpy(zero_copy_only=False) for c in (d, p)]
+            has = pc.not_equal(batch.column(h), "").to_numpy(zero_copy_only=False)
+            found = known.posterior(scores, has, _matrix(batch.column(every), 3 * k).reshape(-1, 3, k), *named, strength)
+            top = found.max(axis=1) if len(found) else np.zeros(0)
+            best = np.where(top >= sure, np.array([*languages, "und"])[found.argmax(axis=1)] if len(found) else "", "und")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(best.tolist(), pa.string()), pa.array(top), _lists(found)], [*keep, *added])
+
+    source = held if thin else marked.select(*keep, h, d, p, text.alias(into))
+    schema = rows.select(*keep).schema.add("language", "string").add("confidence", "double").add("posterior", T.ArrayType(T.DoubleType()))
+    return source.join(hosts, F.col(h) == F.col(at)).mapInArrow(judge, schema)
 
 
 def visible(html: Column) -> Column:

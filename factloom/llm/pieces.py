@@ -138,7 +138,7 @@ class _Memo(dict):
 class Scan:
     """Encoding by a Pieces table; remembers what it has found, within bounds."""
 
-    def __init__(self, pieces: Pieces, most: int = 300_000):
+    def __init__(self, pieces: Pieces, most: int = 80_000):
         self.p = pieces
         self.many = len(pieces.names)
         self.pairs = _Memo(lambda pair: pieces.apart(pieces.names[pair // self.many], pieces.names[pair % self.many]), most)
@@ -343,6 +343,7 @@ def encode(docs: DataFrame, model_file: str = MODEL, text: str = "text", giant:
     U+2581 decodes to a space, as the format has it. Columns of the names added are replaced.
     """
     spark = docs.sparkSession
+    common.bounded(spark)
     with open(model_file, "rb") as f:
         shared = _Shared(spark, f.read())
     docs = docs.drop("ids", "round_trip")

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .codes import mix
 from .graph import components, forest
 
 _LANES = np.uint64(0x0101010101010101)
@@ -134,15 +135,12 @@ def _links_in_buckets(keyed: DataFrame, radius: int, most: int | None) -> DataFr
     return keyed.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(run, "kind int, a long, b long")
 
 
-def links(fps: DataFrame, radius: int = 4, most: int = 2048, extra: list[int] | None = None) -> DataFrame:
-    """Links (a, b) that join all distinct fingerprints (column fp) that differ in `radius` bits or fewer.
-
-    extra: further masks; they serve a radius too large for a guarantee.
-    """
-    spark, found = fps.sparkSession, []
+def links(fps: DataFrame, radius: int = 4, most: int = 2048) -> DataFrame:
+    """Links (a, b) that join all distinct fingerprints (column fp) that differ in `radius` bits or fewer."""
+    found = []
     keyed = fps.select("fp", F.lit(0).cast("long").alias("key"))
     for family in range(3):
-        chosen = masks(min(radius, 4), family) + (extra or [] if not family else [])
+        chosen = masks(radius, family)
         keys = F.array(*[F.xxhash64(F.lit(i), F.col("key"), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(chosen)])
         keyed = keyed.select("fp", F.explode(keys).alias("key"))
         step = common.cut(_links_in_buckets(keyed, radius, most if family < 2 else None))
@@ -153,7 +151,7 @@ def links(fps: DataFrame, radius: int = 4, most: int = 2048, extra: list[int] |
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out.distinct() if spark else out
+    return out.distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -175,7 +173,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, doc: str
 _PARITIES = 1024
 
 
-def _frequent(texts: DataFrame, shingle: int, sample: int = 8000, most: int = 100_000) -> np.ndarray:
+def _frequent(texts: DataFrame, shingle: int, sample: int = 4000, most: int = 100_000) -> np.ndarray:
     """Codes of shingles frequent in a sample of the distinct texts (column t), rarest first.
 
     They only serve to put frequent shingles last in the order of prefixes. Any order gives the same pairs.
@@ -205,39 +203,62 @@ def _prefix(codes: np.ndarray, often: np.ndarray, rank: np.ndarray, p: int, q: i
     return codes[np.lexsort((codes, late))[: n + 1 + -p * n // q]]
 
 
-def _parities(codes: np.ndarray) -> bytes:
-    """Parities of the counts of codes in each of 1,024 cells: two sets differ in no fewer codes than parities."""
-    ones = np.bincount((codes & np.uint64(_PARITIES - 1)).astype(np.int64), minlength=_PARITIES) & 1
+def _parities(codes: np.ndarray, cells: int = _PARITIES) -> bytes:
+    """Parities of the counts of codes in each of `cells` (a power of 2): two sets differ in no fewer codes than parities."""
+    ones = np.bincount((codes & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(ones.astype(np.uint8)).tobytes()
 
 
+def _wide(codes: np.ndarray) -> bytes:
+    """Parities in as many cells as there are codes, or up to twice as many; empty for a set that has enough in _PARITIES."""
+    return b"" if len(codes) <= _PARITIES else _parities(codes, 1 << (len(codes) - 1).bit_length())
+
+
 def _may(n: np.ndarray, bits: np.ndarray, m: np.ndarray, other: np.ndarray, p: int, q: int) -> np.ndarray:
     """False only where sets of n and m codes, with these parities, cannot have similarity p / q."""
     differ = np.bitwise_count(bits ^ other).sum(axis=1, dtype=np.int64)
     return (np.minimum(n, m) * q >= np.maximum(n, m) * p) & (differ * (q + p) <= (q - p) * (n + m))
 
 
-def _meetings(placed: DataFrame, p: int, q: int) -> DataFrame:
-    """Pairs (a, b) that may be similar, of different components, within each (key, i, j) of rows sorted by these.
+def _may_wide(n: int, wide: bytes, m: int, other: bytes, p: int, q: int) -> bool:
+    """The same for wide parities; the longer ones are folded to as many cells as the others have."""
+    if not wide or not other:
+        return True
+    x, y = np.frombuffer(wide, np.uint8), np.frombuffer(other, np.uint8)
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, size), axis=0) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) * (q + p) <= (q - p) * (n + m)
+
+
+def _meetings(placed: DataFrame, p: int, q: int, turn: int | None = None) -> DataFrame:
+    """Pairs (a < b) that may be similar, of different components, within each (key, i, j) of rows sorted by these.
 
-    Pairs with the bucket's lead have been judged. Where i <> j, the rows are two blocks of a large bucket, and a
-    pair has a row of each.
+    Where i <> j, the rows are two blocks of a large bucket, and a pair has a row of each. Repeated rows do no harm.
+    turn: each row gives but one pair, with the row that this turn's order of all nodes puts first; else all pairs.
     """
 
     def pairs(data: pa.Table, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-        lead, node, root, n, i, j, own = (data.column(x).to_numpy() for x in ("lead", "node", "root", "n", "i", "j", "own"))
+        node, root, n, i, j, own = (data.column(x).to_numpy() for x in ("node", "root", "n", "i", "j", "own"))
         bits = np.frombuffer(b"".join(data.column("bits").to_pylist()), np.uint64).reshape(len(node), -1)
+        order = None if turn is None else mix(node.view(np.uint64) ^ mix(np.array([turn], np.uint64)))
         for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
             for at in range(s, e, 256):
                 past = min(at + 256, e)
-                able = (root[at:past, None] != root[None, s:e]) & (node[at:past, None] < node[None, s:e]) & (node[at:past] != lead[s])[:, None]
+                able = root[at:past, None] != root[None, s:e]
+                if order is None:
+                    able &= node[at:past, None] < node[None, s:e]
                 able &= np.minimum(n[at:past, None], n[None, s:e]) * q >= np.maximum(n[at:past, None], n[None, s:e]) * p
                 if i[s] != j[s]:
                     able &= own[at:past, None] != own[None, s:e]
                 x, y = np.nonzero(able)
                 x, y = x + at, y + s
                 near = _may(n[x], bits[x], n[y], bits[y], p, q)
-                yield pa.record_batch({"a": pa.array(node[x[near]]), "b": pa.array(node[y[near]])})
+                x, y = x[near], y[near]
+                if order is not None and len(x):
+                    heads = np.flatnonzero(np.diff(x, prepend=-1))
+                    best = order[y] == np.repeat(np.minimum.reduceat(order[y], heads), np.diff(np.append(heads, len(x))))
+                    x, y = x[best], y[best]
+                yield pa.record_batch({"a": pa.array(np.minimum(node[x], node[y])), "b": pa.array(np.maximum(node[x], node[y]))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -259,40 +280,99 @@ def _meetings(placed: DataFrame, p: int, q: int) -> DataFrame:
     return placed.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
-def _similar(nodes: DataFrame, judged: Callable[[DataFrame], DataFrame], p: int, q: int, most: int = 2048) -> DataFrame:
-    """node, root: components over all pairs of nodes (node, n, bits, prefix) that judged() keeps.
+def _similar(keyed: DataFrame, nodes: DataFrame, judged: Callable[[DataFrame], DataFrame], p: int, q: int, most: int = 2048) -> DataFrame:
+    """node, root: components over all pairs of nodes (node, n, bits, wide) that judged() keeps. keyed: node, key of prefixes.
 
-    Two sets of similarity p / q share a code of their prefixes. In the bucket of each code all are judged against the
-    smallest node first; then all pairs that are not in one component yet are proposed. Buckets with more nodes than
-    `most` are cut in blocks that meet in pairs.
+    Two sets of similarity p / q share a code of their prefixes: they meet in that code's bucket. Each node is judged
+    against one smallest node that it meets. Then, as long as that joins many, each node is judged against one node
+    of another component, so a large group of copies costs its size and not its square. At last all pairs of a bucket
+    that are not in one component yet are proposed. Buckets with more rows than `most` are cut in blocks that meet in pairs.
     """
-    keyed = nodes.select("node", F.explode("prefix").alias("key"))
-    met = keyed.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("c")).where("c > 1")
+    spark = nodes.sparkSession
+    met = keyed.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last"), F.count("*").alias("c")).where("lead < last")
     shared = common.cut(keyed.join(met, "key").select("key", "lead", "c", "node"))
-    about = nodes.select("node", "n", "bits")
+    common.sweep(spark)
+    about = nodes.select("node", "n", "bits", "wide")
 
     def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = [np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint64).reshape(-1, _PARITIES // 64) for x in ("bits", "bits2")]
             near = _may(batch.column("n").to_numpy(), bits[0], batch.column("n2").to_numpy(), bits[1], p, q)
-            yield batch.select(["a", "b"]).filter(pa.array(near))
-
-    stars = shared.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stars.join(about.withColumnRenamed("node", "a"), "a").join(about.toDF("b", "n2", "bits2"), "b")
-    first = common.cut(judged(common.cut(stars.mapInArrow(may, "a long, b long"))))
-    roots = common.cut(components(first))
-    rooted = shared.where("c > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+            some = batch.filter(pa.array(near))
+            near = [_may_wide(n, x, m, y, p, q) for n, x, m, y in zip(*(some.column(c).to_pylist() for c in ("n", "wide", "n2", "wide2")), strict=True)]
+            yield some.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(about.withColumnRenamed("node", "a"), "a").join(about.toDF("b", "n2", "bits2", "wide2"), "b")
+        return common.cut(both.mapInArrow(may, "a long, b long"))
+
+    tried = possible(shared.where("node <> lead").groupBy(F.col("node").alias("b")).agg(F.min("lead").alias("a")))
+    found = common.cut(judged(tried))
     blocks = F.ceil(F.col("c") / most).cast("int")
-    placed = rooted.join(mixed, "key").join(about, "node").withColumns({"own": F.pmod(F.xxhash64("node"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
-    placed = placed.select("key", "lead", "node", "root", "n", "bits", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    second = judged(common.cut(_meetings(placed, p, q)))
-    return components(first.unionByName(second))
+    turn: int | None = 0
+    while True:
+        common.sweep(spark)
+        roots = common.cut(components(found))
+        rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        placed = rooted.join(mixed, "key").join(about.drop("wide"), "node").withColumns({"own": F.pmod(F.xxhash64("node"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+        placed = placed.select("key", "node", "root", "n", "bits", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        more = possible(_meetings(placed, p, q, turn).join(tried, ["a", "b"], "left_anti"))
+        new = common.cut(judged(more))
+        found, tried = found.unionByName(new), tried.unionByName(more)
+        if turn is None:
+            return components(found)
+        turn = turn + 1 if turn < 5 and new.count() > 0.05 * nodes.count() else None
+
+
+def _digest(text: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
+def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """a, salt, node and the set of codes of text t; a task gives each (a, salt, node) once."""
+    seen: set[tuple[int, int, int]] = set()
+    held, codes = None, b""
+    for batch in batches:
+        for some in common.pieces(batch, "t", 1 << 21):
+            fresh, out = [], []
+            for i, (at, x) in enumerate(zip(zip(*(some.column(c).to_pylist() for c in ("a", "salt", "node")), strict=True), common.texts_of(some.column("t")), strict=True)):
+                if at in seen:
+                    continue
+                seen.add(at)
+                if x != held:
+                    held, codes = x, np.unique(shingle_codes(x, shingle)).tobytes()
+                fresh.append(i)
+                out.append(codes)
+            rows = some.select(["a", "salt", "node"]).take(pa.array(fresh, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.binary())], ["a", "salt", "node", "codes"])
+
+
+def _judge(batches: Iterator[pa.RecordBatch], p: int, q: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of similarity p / q. Rows come by (a, salt), the set of a itself first, then of its partners."""
+    at, lead, last = None, np.zeros(0, np.uint64), None
+    for batch in batches:
+        a_s, b_s = [], []
+        for a, salt, node, codes in zip(*(batch.column(c) for c in ("a", "salt", "node", "codes")), strict=True):
+            a, salt, node = a.as_py(), salt.as_py(), node.as_py()
+            if (a, salt) != at:
+                at, last = (a, salt), None
+            if node == a:
+                lead = np.frombuffer(codes.as_py(), np.uint64)
+            elif node != last:
+                other = np.frombuffer(codes.as_buffer(), np.uint64)
+                both = len(np.intersect1d(lead, other, assume_unique=True))
+                if both * q >= p * (len(lead) + len(other) - both):
+                    a_s.append(a)
+                    b_s.append(node)
+            last = node
+        yield pa.record_batch({"a": pa.array(a_s, pa.int64()), "b": pa.array(b_s, pa.int64())})
 
 
 def _grouped(docs: DataFrame, shingle: int, similarity: float, most: int, doc: str, text: str) -> DataFrame:
     """doc, digest (of the text), node (null without words), first: of its group the smallest id, then digest; no id is last."""
     spark = docs.sparkSession
+    common.bounded(spark)
     ratio = Fraction(similarity).limit_denominator(1000)
     p, q = ratio.numerator, ratio.denominator
     often = _frequent(docs.select(F.col(text).alias("t")), shingle)
@@ -300,51 +380,44 @@ def _grouped(docs: DataFrame, shingle: int, similarity: float, most: int, doc: s
     late = spark.sparkContext.broadcast((often[order], order))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
+        seen: set[int] = set()  # equal sets of a task send their bits and prefix once
         for batch in batches:
             for some in common.pieces(batch, "t", 1 << 21):
-                node, n, bits, prefix = [], [], [], []
+                node, n, bits, wide, prefix = [], [], [], [], []
                 for x in common.texts_of(some.column("t")):
                     codes = np.unique(shingle_codes(x, shingle))
                     node.append(xxhash.xxh3_64_intdigest(codes.tobytes()))
                     n.append(len(codes))
-                    bits.append(_parities(codes))
-                    prefix.append(_prefix(codes, *late.value, p, q))
+                    bits.append(None if node[-1] in seen else _parities(codes))
+                    wide.append(None if node[-1] in seen else _wide(codes))
+                    prefix.append(codes[:0] if node[-1] in seen else _prefix(codes, *late.value, p, q))
+                    seen.add(node[-1])
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in prefix])]).astype(np.int32)
                 codes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix).view(np.int64)))
-                made = [pa.array(np.array(node, np.uint64).view(np.int64), mask=np.array(n) == 0), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), codes]
-                yield pa.RecordBatch.from_arrays([*(some.column(x) for x in ("doc", "digest")), *made], ["doc", "digest", "node", "n", "bits", "prefix"])
+                made = [pa.array(np.array(node, np.uint64).view(np.int64), mask=np.array(n) == 0), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(wide, pa.binary()), codes]
+                yield pa.RecordBatch.from_arrays([*(some.column(x) for x in ("doc", "digest")), *made], ["doc", "digest", "node", "n", "bits", "wide", "prefix"])
 
     texts = docs.select(F.col(doc).cast("long").alias("doc"), _digest(text).alias("digest"), F.col(text).alias("t"))
-    rows = common.cut(texts.mapInArrow(run, "doc long, digest binary, node long, n long, bits binary, prefix array<long>"))
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "digest")).alias("least"), F.min(F.struct("digest", "n", "bits", "prefix")).alias("x"))
-    nodes = common.cut(nodes.select("node", "least", "x.*"))
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for some in common.pieces(batch, "t", 1 << 21):
-                codes = [np.unique(shingle_codes(x, shingle)).tobytes() for x in common.texts_of(some.column("t"))]
-                yield pa.RecordBatch.from_arrays([some.column("node"), pa.array(codes, pa.binary())], ["node", "codes"])
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for s, t in zip(batch.column("s"), batch.column("t"), strict=True):
-                s, t = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                good.append(both * q >= p * (len(s) + len(t) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+    rows = common.cut(texts.mapInArrow(run, "doc long, digest binary, node long, n long, bits binary, wide binary, prefix array<long>"))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "digest")).alias("least"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.max("wide").alias("wide"))
+    nodes = common.cut(nodes)
+    named = nodes.select("node", F.col("least.doc").alias("doc"), F.col("least.digest").alias("digest"))
 
     def judged(pairs: DataFrame) -> DataFrame:
-        some = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "digest"), "node")
-        read = texts.select("digest", "t").join(some, "digest").dropDuplicates(["node"])
-        sets = common.cut(read.select("node", "t").mapInArrow(whole, "node long, codes binary"))
-        sides = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
-        return sides.select("a", "b", "s", "t").mapInArrow(judge, "a long, b long")
-
-    joined = _similar(nodes, judged, p, q, most)
-    named = joined.join(nodes.select("node", "least"), "node")
-    least = named.groupBy("root").agg(F.min("least").alias("first"))
-    of = named.join(least, "root").select("node", "first")
+        """Sets are made where the texts lie; each goes to its lead's task, and a lead of many partners has several."""
+        counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("salts"))
+        salted = pairs.join(counts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
+        sides = salted.select("a", "salt", F.col("b").alias("node")).unionByName(salted.select("a", "salt", F.col("a").alias("node")).distinct())
+        sides = common.small(common.cut(sides.join(named, "node")))
+        found = texts.join(sides.withColumnsRenamed({"doc": "own", "digest": "own_digest"}), (F.col("digest") == F.col("own_digest")) & F.col("doc").eqNullSafe(F.col("own"))).select("a", "salt", "node", "t")
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+        sets = found.mapInArrow(lambda x: _sets(x, shingle), "a long, salt long, node long, codes binary").repartition(parts, "a", "salt")
+        return sets.sortWithinPartitions("a", "salt", F.col("node") != F.col("a"), "node").mapInArrow(lambda x: _judge(x, p, q), "a long, b long")
+
+    joined = common.cut(_similar(rows.select("node", F.explode("prefix").alias("key")), nodes, judged, p, q, most))
+    least = joined.join(nodes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("first"))
+    of = joined.join(least, "root").select("node", "first")
     of = nodes.join(of, "node", "left").select("node", F.coalesce("first", "least").alias("first"))
     return rows.select("doc", "digest", "node").join(of, "node", "left")
 
@@ -362,10 +435,6 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most
     return found.select("doc", F.when(F.col("node").isNull(), F.col("doc")).otherwise(F.col("first.doc")).alias("component"))
 
 
-def _digest(text: str) -> Column:
-    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
-
-
 def without_copies(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Of each group of near copies the document of smallest id; of repeated ids one row.
 
@@ -373,11 +442,13 @@ def without_copies(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     without words are in no group and stay.
     """
     found = common.cut(_grouped(docs, 5, 0.8, 2048, doc, text))
+    common.sweep(docs.sparkSession)
     first = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("digest") == F.col("first.digest"))
-    gone = found.where(F.col("node").isNotNull() & ~first).select(F.col("doc").alias("gone__"), F.col("digest").alias("gone_digest__")).distinct()
     names = docs.columns
+    id_, digest_ = common.free(names, "gone"), common.free(names, "gone_digest")
+    gone = common.small(common.cut(found.where(F.col("node").isNotNull() & ~first).select(F.col("doc").alias(id_), F.col("digest").alias(digest_)).distinct()))
     own, at = common.free(names, "own_digest"), common.free(names, "at")
-    kept = docs.withColumn(own, _digest(text)).join(gone, F.col(doc).eqNullSafe(F.col("gone__")) & (F.col(own) == F.col("gone_digest__")), "left_anti")
+    kept = docs.withColumn(own, _digest(text)).join(gone, F.col(doc).eqNullSafe(F.col(id_)) & (F.col(own) == F.col(digest_)), "left_anti")
     ids = found.agg(F.count("doc"), F.countDistinct("doc")).first()
     same = found.where(F.col("doc").isNull() & F.col("node").isNotNull() & first).groupBy("digest").count().where("count > 1")
     if ids[0] != ids[1] or not same.isEmpty():

@@ -141,8 +141,10 @@ def test_masks_cover_the_radius():
 
 def test_components_of_chains_and_hubs(spark):
     pairs = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(1000, 1300)] + [(1, 1), (3, 2), (2, 3)]
-    got = {r.node: r.root for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
-    assert got == {k: v for k, v in brute_components(pairs).items() if k != 1}
+    for most in (0, 10**6):
+        got = graph.components(spark.createDataFrame(pairs, "a long, b long"), most).collect()
+        assert {r.node: r.root for r in got} == {k: v for k, v in brute_components(pairs).items() if k != 1} and len(got) == len({r.node for r in got})
+        assert graph.components(spark.createDataFrame([], "a long, b long"), most).count() == 0
 
 
 def test_mixing(spark):
