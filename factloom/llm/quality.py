@@ -171,11 +171,14 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
 
 
 def labelled(labels: DataFrame, docs: DataFrame, label: str, learn, most_rows: int) -> DataFrame:
-    """doc_id, text, label of the `most_rows` labelled rows of lowest hash that `learn` lets in; a null label is none."""
+    """doc_id, text, label of the `most_rows` labelled ids of lowest hash that `learn` lets in; a null label is none.
+
+    An id that repeats counts once, with the greatest of its labels and the least of its texts.
+    """
     first = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
     some = first.where(learn).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # bounded by most_rows
-    return texts
+    return texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def remainder(by: int):

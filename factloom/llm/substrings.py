@@ -1,16 +1,19 @@
-"""Removal of passages that other documents hold already, by prefix-partitioned suffix trees.
+"""Removal of passages that other documents hold already, by prefix-partitioned suffix trees cut at a depth.
 
 Every word of the corpus starts a suffix. The suffix tree over all of them is never built whole: suffixes are
 split by a variable-length prefix into groups that fit a task's memory, and each group's subtree is built on its
 own. The prefix is two words; where more suffixes share two words than a task should hold, it is the whole path
-down to the depth that is asked for. A subtree is needed only down to that depth (`window` words), so a suffix is
-the 64-bit code of its path label, its subtree is the sorted codes, and the internal nodes at that depth are the
-runs of equal codes: repeats. Consecutive repeats in a document are what deeper nodes would report as one longer
-maximal repeat; they are joined when words are marked.
+down to the depth that is asked for. A subtree is needed only down to that depth (`window` words), where internal
+nodes are the runs of equal path labels: repeats. Consecutive repeats in a document are what deeper nodes would report
+as one longer maximal repeat; they are joined when words are marked.
+
+A label is 88 bits: a 64-bit code of its words' codes, and 24 bits from second codes of the words (words have 128-bit
+hashes); among 10^13 different suffixes, 0.2 pairs of equal labels are expected. Labels of the words themselves would move 80 bytes for each suffix of 13 words, which is 12 times the input.
 
 How rows move: documents go by ranges of doc_id into buckets of bounded text. A bucket sends each distinct suffix
-once, as seven or eight bytes, to its prefix group, and gets one bit back: whether a bucket of smaller ids has that
-suffix. So a passage in a third of all documents costs a group one code for each bucket, never one for each copy.
+once, as 10 or 11 bytes, to its prefix group, and gets one bit back: whether a bucket of smaller ids has that
+suffix. So a passage in a third of all documents costs a group one label for each bucket, never one for each copy.
+Rows of one id that pass a bucket's bound (or have no id) are dealt to several buckets of the same rank.
 """
 
 from __future__ import annotations
@@ -25,33 +28,46 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .codes import code_words, mix, windows
+from .codes import code_words, mix, sort_codes, windows
 
 _CELLS = 1 << 12
 _LAST = np.iinfo(np.int64).max
 
 
 def _suffixes(texts: list[bytes], window: int):
-    """Words, and the suffixes that are at least `window` words deep: place, text, code, cell of the two-word prefix."""
+    """Words, and the suffixes that are at least `window` words deep: place, text, code, check, cell of the two-word prefix."""
     coded = code_words(texts)
     place, owner, code = windows(coded.counts, coded.codes, window)
+    check = (windows(coded.counts, coded.checks, window, 1)[2] >> np.uint64(40)).astype(np.uint32)
     after = coded.codes[place + 1] if window > 1 else np.uint64(0)
     cell = (mix(coded.codes[place] * np.uint64(3) + after) >> np.uint64(52)).astype(np.int64)
-    return coded, place, owner, code, cell
+    return coded, place, owner, code, check, cell
+
+
+def _cells(texts: list[bytes], window: int) -> np.ndarray:
+    """How many suffixes each cell has."""
+    coded = code_words(texts)
+    ends = np.cumsum(coded.counts)
+    place = np.arange(len(coded.codes))
+    place = place[place + window <= np.repeat(ends, coded.counts)]
+    after = coded.codes[place + 1] if window > 1 else np.uint64(0)
+    return np.bincount((mix(coded.codes[place] * np.uint64(3) + after) >> np.uint64(52)).astype(np.int64), minlength=_CELLS)
 
 
-def _pack(codes: np.ndarray) -> bytes:
-    """Sorted distinct codes as steps of 7 bytes, or of 8 where a step is too long."""
+def _pack(codes: np.ndarray, checks: np.ndarray) -> bytes:
+    """Labels sorted by code: steps of 7 bytes, or of 8 where a step is too long, then the checks."""
     steps = np.diff(codes, prepend=np.uint64(0))
     wide = 7 if len(steps) and int(steps.max()) < 1 << 56 else 8
-    return bytes([wide]) + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide]).tobytes()
+    return bytes([wide]) + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide]).tobytes() + np.ascontiguousarray(checks.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
 
 
-def _unpack(blob: bytes) -> np.ndarray:
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     wide = blob[0]
-    raw = np.zeros(((len(blob) - 1) // wide, 8), np.uint8)
-    raw[:, :wide] = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, wide)
-    return np.cumsum(raw.reshape(-1).view("<u8"), dtype=np.uint64)
+    n = (len(blob) - 1) // (wide + 3)
+    raw, check = np.zeros((n, 8), np.uint8), np.zeros((n, 4), np.uint8)
+    raw[:, :wide] = np.frombuffer(blob, np.uint8, n * wide, 1).reshape(-1, wide)
+    check[:, :3] = np.frombuffer(blob, np.uint8, n * 3, 1 + n * wide).reshape(-1, 3)
+    return np.cumsum(raw.reshape(-1).view("<u8"), dtype=np.uint64), check.reshape(-1).view("<u4")
 
 
 class _Forest:
@@ -76,13 +92,16 @@ class _Forest:
 
 
 def _bucket_suffixes(data: pa.Table, doc: str, text: str, window: int):
-    """A bucket's documents in order of id, their suffixes, the distinct ones, and which repeat within the bucket."""
+    """A bucket's documents in order of id, their suffixes, the distinct labels and cells, and which repeat within the bucket."""
     ids = data.column(doc).fill_null(_LAST).to_numpy()
     order = np.argsort(ids, kind="stable")
     data, ids = data.take(order), ids[order]
-    coded, place, owner, code, cell = _suffixes(common.texts_of(data.column(text)), window)
-    distinct, first, which = np.unique(code, return_index=True, return_inverse=True)
-    return data, coded, place, owner, distinct, cell[first], which, ids[owner] > ids[owner[first]][which]
+    coded, place, owner, code, check, cell = _suffixes(common.texts_of(data.column(text)), window)
+    order, head = sort_codes(code, check)
+    first = order[head]
+    which = np.empty(len(code), np.int64)
+    which[order] = np.cumsum(head) - 1
+    return data, coded, place, code[first], check[first], cell[first], which, ids[owner] > ids[owner[first]][which]
 
 
 def _cut_text(text: bytes, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> bytes:
@@ -104,12 +123,15 @@ def dedup_substrings(docs: DataFrame, window: int = 13, doc: str = "doc_id", tex
     An empty table gives an empty table. Columns of the names added are replaced.
     """
     spark = docs.sparkSession
+    common.bounded(spark)
     docs = docs.drop("kept_text", "n_words", "n_removed")
     rows = docs.count()
     fine = max(1, rows // max(128, rows // 1_000_000))
     at = [i / fine for i in range(1, fine)]
-    marks = docs.agg(F.percentile_approx(F.col(doc).cast("long"), at, max(10_000, 20 * fine)).alias("x")).first()[0] if at else []
-    marks = np.unique(np.array(marks or [], np.int64))
+    found = docs.agg(F.percentile_approx(F.col(doc).cast("long"), at, max(10_000, 20 * fine)).alias("x")).first()[0] if at else []
+    found = np.array(found or [], np.int64)
+    often = np.unique(found[1:][found[1:] == found[:-1]])  # ids of many rows have a range of their own, as has no id
+    marks = np.unique(np.concatenate([found, often + 1, [_LAST]]))
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, cells = np.zeros(len(marks) + 1, np.int64), np.zeros(_CELLS, np.int64)
@@ -118,7 +140,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, doc: str = "doc_id", tex
                 texts = common.texts_of(some.column("t"))
                 range_of = np.searchsorted(marks, some.column("i").fill_null(_LAST).to_numpy(zero_copy_only=False), "right")
                 size += np.bincount(range_of, [len(x) + 64 for x in texts], len(size)).astype(np.int64)
-                cells += np.bincount(_suffixes(texts, window)[4], minlength=_CELLS)
+                cells += _cells(texts, window)
         for kind, values in ((0, size), (1, cells)):
             keys = np.flatnonzero(values)
             yield pa.record_batch({"kind": pa.array(np.full(len(keys), kind, np.int32)), "key": pa.array(keys), "n": pa.array(values[keys])})
@@ -130,40 +152,51 @@ def dedup_substrings(docs: DataFrame, window: int = 13, doc: str = "doc_id", tex
         some = seen[seen.kind == kind]
         into[some.key.to_numpy(np.int64)] = some.n.to_numpy(np.int64)
     forest = _Forest(cells, group_suffixes)
-    bounds, held = [], 0
+    bounds, salts, held = [], {}, 0
     for i, n in enumerate(size.tolist()):
         if held and held + n > bucket_bytes:
             bounds.append(marks[i - 1])
             held = 0
         held += n
+        one_id = i == len(marks) or 0 < i and marks[i] == marks[i - 1] + 1
+        if one_id and n > bucket_bytes:  # held is n here
+            salts[len(bounds)] = -(-n // bucket_bytes)
     bounds = np.array(bounds, np.int64)
 
-    @F.pandas_udf("int")
-    def bucket_of(x: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, x.fillna(_LAST).to_numpy(np.int64), "right").astype(np.int32))
+    @F.pandas_udf("long")
+    def bucket_of(x: pd.Series, other: pd.Series) -> pd.Series:
+        """A bucket's rank, then its number among those of the same rank."""
+        rank = np.searchsorted(bounds, x.fillna(_LAST).to_numpy(np.int64), "right").astype(np.int64)
+        salt = np.zeros(len(rank), np.int64)
+        for k, n in salts.items():
+            salt = np.where(rank == k, other.to_numpy(np.int64) % n, salt)
+        return pd.Series(rank << 20 | salt)
 
     key = common.free(docs.columns, "bucket")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(len(bounds) + 1, 1000))
-    placed = docs.withColumn(key, bucket_of(F.col(doc).cast("long"))).repartition(parts, key)
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = max(least, (len(bounds) + 1 + sum(salts.values())) // 8)
+    placed = docs.withColumn(key, bucket_of(F.col(doc).cast("long"), F.xxhash64(F.col(text)))).repartition(parts, key)
 
     def send(data: pa.Table) -> pa.Table:
         bucket = data.column(key)[0].as_py()
-        _, _, _, _, distinct, cell, _, _ = _bucket_suffixes(data, doc, text, window)
-        group = forest.of(cell, distinct)
+        _, _, _, code, check, cell, _, _ = _bucket_suffixes(data, doc, text, window)
+        group = forest.of(cell, code)
         order = np.argsort(group, kind="stable")
         names, starts = np.unique(group[order], return_index=True)
-        blobs = [_pack(x) for x in np.split(distinct[order], starts[1:])] if len(names) else []
-        return pa.table({"g": pa.array(names, pa.int64()), "b": pa.array([bucket] * len(names), pa.int32()), "blob": pa.array(blobs, pa.binary())})
+        blobs = [_pack(code[x], check[x]) for x in np.split(order, starts[1:])] if len(names) else []
+        return pa.table({"g": pa.array(names, pa.int64()), "b": pa.array([bucket] * len(names), pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
     def meet(data: pa.Table) -> pa.Table:
-        """One subtree: codes in order are its leaves, a run of equal codes is a node with more than one leaf."""
+        """One subtree: labels in order are its leaves, a run of equal labels is a node with more than one leaf."""
         data = data.sort_by("b")
         leaves = [_unpack(x) for x in data.column("blob").to_pylist()]
-        sizes = [len(x) for x in leaves]
-        every = np.concatenate(leaves)
-        order = np.argsort(every, kind="stable")
-        repeat = np.zeros(len(every), bool)
-        repeat[order[1:]] = every[order[1:]] == every[order[:-1]]
+        sizes = [len(x) for x, _ in leaves]
+        rank = np.repeat(data.column("b").to_numpy() >> 20, sizes)
+        order, head = sort_codes(np.concatenate([x for x, _ in leaves]), np.concatenate([x for _, x in leaves]))
+        rank = rank[order]
+        least_ = np.minimum.reduceat(rank, np.flatnonzero(head)) if len(rank) else rank
+        repeat = np.zeros(len(rank), bool)
+        repeat[order] = rank > least_[np.cumsum(head) - 1]
         bits = [np.packbits(x).tobytes() for x in np.split(repeat, np.cumsum(sizes)[:-1])]
         return pa.table({"b": data.column("b"), "g": data.column("g"), "bits": pa.array(bits, pa.binary())})
 
@@ -173,10 +206,10 @@ def dedup_substrings(docs: DataFrame, window: int = 13, doc: str = "doc_id", tex
     def judge(data: pa.Table, answers: pa.Table) -> pa.Table:
         if not data.num_rows:
             return data.select(carried).append_column("kept_text", pa.array([], pa.string())).append_column("n_words", pa.array([], pa.int64())).append_column("n_removed", pa.array([], pa.int64()))
-        data, coded, place, _, distinct, cell, which, here = _bucket_suffixes(data, doc, text, window)
-        group = forest.of(cell, distinct)
+        data, coded, place, code, _, cell, which, here = _bucket_suffixes(data, doc, text, window)
+        group = forest.of(cell, code)
         order = np.argsort(group, kind="stable")
-        before = np.zeros(len(distinct), bool)
+        before = np.zeros(len(code), bool)
         names, starts, sizes = np.unique(group[order], return_index=True, return_counts=True)
         bits = dict(zip(answers.column("g").to_pylist(), answers.column("bits").to_pylist(), strict=True))
         for g, a, n in zip(names.tolist(), starts.tolist(), sizes.tolist(), strict=True):
@@ -211,7 +244,8 @@ def dedup_substrings(docs: DataFrame, window: int = 13, doc: str = "doc_id", tex
         common.release()
         return out
 
-    answers = placed.groupBy(key).applyInArrow(sent, "g long, b int, blob binary").groupBy("g").applyInArrow(met, "b int, g long, bits binary")
+    leaves = placed.groupBy(key).applyInArrow(sent, "g long, b long, blob binary").repartition(max(least, forest.groups // 8), "g")
+    answers = leaves.groupBy("g").applyInArrow(met, "b long, g long, bits binary").repartition(parts, "b")
     return placed.groupBy(key).cogroup(answers.groupBy("b")).applyInArrow(judged, out_schema)
 
 

@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import xxhash
 
-from factloom.llm import graph, mixing, simhash, substrings
+from factloom.llm import codes, graph, mixing, simhash, substrings
 
 DOC = "doc_id long, text string, source string, bucket string"
 
@@ -70,6 +70,34 @@ def test_substrings_null_ids_and_empty_tables(spark):
     assert substrings.dedup_substrings(df.limit(0)).count() == 0
 
 
+def test_substrings_of_colliding_words(spark):
+    """Words whose polynomial hashes are equal modulo any power of 2, for any base, are different words."""
+    letters = "a"
+    for _ in range(10):
+        letters += letters.translate(str.maketrans("ab", "ba"))
+    other = letters.translate(str.maketrans("ab", "ba"))
+    shared = " ".join(f"w{k}" for k in range(12))
+    df = spark.createDataFrame([(1, f"{shared} {letters}"), (2, f"{shared} {other}"), (3, f"{shared} {letters}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substrings.dedup_substrings(df).collect()} == {1: 0, 2: 0, 3: 13}
+
+
+def test_substrings_of_hot_ids(spark):
+    rng = random.Random(12)
+    passage = " ".join(f"p{k}" for k in range(15))
+    rows = [(rng.choice([7, 7, 7, None, None, rng.randrange(100)]), f"{' '.join(f'w{rng.randrange(10**6)}' for _ in range(20))} {passage}") for _ in range(600)]
+    ids = [r[0] for r in rows if r[0] is not None]
+    got = substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), bucket_bytes=2000, group_suffixes=500).collect()
+    assert len(got) == 600 and all(r.n_removed == (0 if r.doc_id == min(ids) else 15) for r in got)
+
+
+def test_equal_codes_are_told_apart_by_their_checks():
+    code, check = np.array([5, 5, 3, 5, 5], np.uint64), np.array([1, 2, 1, 1, 2], np.uint32)
+    order, head = codes.sort_codes(code, check)
+    assert order.tolist() == [2, 0, 3, 1, 4] and head.tolist() == [True, True, False, True, False]
+    packed = substrings._unpack(substrings._pack(np.array([1, 2**63, 2**64 - 1], np.uint64), np.array([7, 8, 9], np.uint32)))
+    assert packed[0].tolist() == [1, 2**63, 2**64 - 1] and packed[1].tolist() == [7, 8, 9]
+
+
 def brute_fingerprint(text):
     w = (text or "").encode().lower().split()
     s = [b" ".join(w[i : i + 4]) for i in range(len(w) - 3)] if len(w) >= 4 else [b" ".join(w)] if w else []
