@@ -114,7 +114,7 @@ def _cut_text(text: bytes, starts: np.ndarray, ends: np.ndarray, gone: np.ndarra
     return b"".join([*out, text[at:]])
 
 
-def dedup_substrings(docs: DataFrame, window: int = 13, doc: str = "doc_id", text: str = "text", bucket_bytes: int = 6 << 20, group_suffixes: int = 1_500_000) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 13, doc: str = "doc_id", text: str = "text", bucket_bytes: int = 5 << 20, group_suffixes: int = 1_000_000) -> DataFrame:
     """Adds kept_text, n_words and n_removed to each document.
 
     Removed is each word covered by a window of `window` words that also starts in a document of smaller id.
