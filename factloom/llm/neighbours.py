@@ -1,17 +1,21 @@
 """Approximate nearest neighbours on shifted space-filling curves.
 
 Vectors are projected to `axes` random directions, shifted, and put in the order of a Hilbert curve; that is done
-for `curves` directions and shifts. Each curve is cut into ranges of about equal count; a query meets all vectors of
-its own range and the two beside it, on every curve, and exact distances rank what it met.
+for `curves` directions and shifts. Each curve is cut into ranges of about equal count; a query's window on a curve is
+its own range and the two beside it. The windows of all curves merge: a row that lies in one of them is a candidate, and
+its exact distance ranks it.
 
-Of equal vectors the k + 1 smallest ids can be among a query's k nearest, so only those go on curves; every row is
-a query that asks to be. A range grows with the table (1 / 200 of it at least): in data without structure a window
-of a fixed length would find an ever smaller part.
+Rows stay where they are: a task computes the places of its rows on all curves, compares them with the windows of a block of
+queries (a broadcast of bounded size), and keeps each query's k nearest. Only these are shuffled, so neither equal
+vectors nor a crowded range fill a task. Queries beyond a block go in further blocks, each of which reads the rows again.
+
+A range is a share of the table: in data without structure a window of a fixed length would find an ever smaller part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -71,32 +75,39 @@ class Curves:
         return out
 
 
-def search(vectors: DataFrame, every: int = 100, k: int = 10, curves: int = 64, axes: int = 8, range_rows: int = 256, seed: int = 23, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def _merge(best: tuple[np.ndarray, np.ndarray], d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k least (distance, id) of what is held and what is new, each once."""
+    d, ids = np.concatenate([best[0], d]), np.concatenate([best[1], ids])
+    order = np.lexsort((ids, d))
+    d, ids = d[order], ids[order]
+    fresh = np.concatenate([[True], (d[1:] != d[:-1]) | (ids[1:] != ids[:-1])]) if len(d) else np.zeros(0, bool)
+    return d[fresh][:k], ids[fresh][:k]
+
+
+def search(vectors: DataFrame, every: int = 100, k: int = 10, curves: int = 64, axes: int = 8, range_rows: int = 256, ranges: int = 200, block: int = 8192, seed: int = 23, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by `every`.
 
     Rows with a null id, and vectors that are null, zero, hold null or non-finite components, or have another length
-    than most (ties: the longer), take no part. Ties go to the smaller id; a repeated id is a candidate once for each
-    different vector and never for itself. Fewer candidates than k give them all. No rows give no rows.
+    than most (ties: the longer), take no part. Ties go to the smaller id. Equal rows count once, as query and as
+    candidate, and a query's own row is no candidate; rows of its id with another vector are. Of one id, rows at the
+    same distance count once. Fewer candidates than k give them all. No rows give no rows.
+
+    Curves are cut in `ranges` ranges (fewer where these would have less than range_rows rows). Queries go in blocks of
+    about `block`; each block is broadcast and reads the rows once.
     """
     spark = vectors.sparkSession
+    common.bounded(spark)
     v = F.col("v")
     clean = vectors.select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(
         F.col("id").isNotNull() & v.isNotNull() & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(v, lambda x: x != 0)
     )
-    lengths = clean.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
-    if not lengths:
+    lengths = clean.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("count"), F.sum((F.col("id") % every == 0).cast("long")).alias("asked")).orderBy(F.desc("count"), F.desc("size")).first()
+    if not lengths or not lengths["asked"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    size = lengths["size"]
+    size, n, asked = lengths["size"], lengths["count"], lengths["asked"]
     clean = clean.where(F.size("v") == size)
     about = clean.agg(*[F.avg(v[i]).alias(f"m{i}") for i in range(size)], *[F.stddev_pop(v[i]).alias(f"s{i}") for i in range(size)]).first()
     shape = spark.sparkContext.broadcast(Curves(np.array(about[:size]), np.array(about[size:]), curves, axes, seed))
-    some = Window.partitionBy("v").orderBy("id")
-    rows = clean.dropDuplicates(["id", "v"]).withColumn("at", F.row_number().over(some)).where(F.col("at") <= k + 1).drop("at")
-    queries = clean.where(F.col("id") % every == 0).dropDuplicates(["id", "v"])
-    # a row may be candidate (kind 0) or query (kind 1)
-    sides = common.cut(rows.withColumn("kind", F.lit(0)).unionByName(queries.withColumn("kind", F.lit(1))))
-    n = sides.where("kind = 0").count()
-    ranges = min(max(n // range_rows, 1), 200)
     matrix = lambda batch: batch.column("v").flatten().to_numpy().reshape(-1, size)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,56 +116,68 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, curves: int = 64,
                 found = shape.value.keys(matrix(batch))
                 yield pa.record_batch({"c": pa.array(np.repeat(np.arange(curves, dtype=np.int32), batch.num_rows)), "key": pa.array(np.concatenate(found))})
 
+    ranges = min(max(n // range_rows, 1), ranges)
     at = [i / ranges for i in range(1, ranges)]
     cuts = [np.zeros(0, np.int64)] * curves
     if at:
-        found = sides.where("kind = 0").select("v").mapInArrow(keys, "c int, key long").groupBy("c").agg(F.percentile_approx("key", at, 5000).alias("x")).collect()  # fewer than 200 numbers for each curve
+        found = clean.select("v").mapInArrow(keys, "c int, key long").groupBy("c").agg(F.percentile_approx("key", at, 5000).alias("x")).collect()  # fewer than `ranges` numbers for each curve
         for r in found:
             cuts[r.c] = np.array(r.x, np.int64)
-    salts = max(1, n // ranges // 4096)
+    parts = []
+    for i in range(-(-asked // block)):
+        mine = clean.where((F.col("id") % every == 0) & (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(-(-asked // block))) == i)).distinct().toArrow()  # about `block` rows
+        if mine.num_rows:
+            parts.append(_nearest_of(clean, mine, shape, cuts, k, size))
+    if not parts:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    met = reduce(DataFrame.unionByName, parts).distinct()
+    first = Window.partitionBy("query_id", "n").orderBy("score", "vec_id")
+    return met.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _nearest_of(rows: DataFrame, queries: pa.Table, shape, cuts: list[np.ndarray], k: int, size: int) -> DataFrame:
+    """query_id, n (of the query among those of its id), vec_id, score: each task's k nearest rows of each query's windows."""
+    queries = queries.take(np.lexsort((*queries.column("v").combine_chunks().flatten().to_numpy().reshape(-1, size).T, queries.column("id").to_numpy())))
+    ids = queries.column("id").to_numpy()
+    points = queries.column("v").combine_chunks().flatten().to_numpy().reshape(-1, size)
+    number = np.arange(len(ids)) - np.searchsorted(ids, ids)
+    windows = []
+    for cut, key in zip(cuts, shape.value.keys(points), strict=True):
+        own = np.searchsorted(cut, key, "right")
+        edge = np.concatenate([[np.iinfo(np.int64).min], cut, [np.iinfo(np.int64).max]])
+        windows.append((edge[np.maximum(own - 1, 0)], edge[np.minimum(own + 2, len(cut) + 1)]))
+    shared = rows.sparkSession.sparkContext.broadcast((ids, number, points, windows))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, which, points, windows = shared.value
+        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(asked)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            data, ids, kinds = matrix(batch), batch.column("id").to_numpy(), batch.column("kind").to_numpy()
-            raw = pa.array([x.tobytes() for x in data], pa.binary())
-            for c, key in enumerate(shape.value.keys(data)):
-                own = np.searchsorted(cuts[c], key, "right")
-                parts = [(np.flatnonzero(kinds == 0), 0, None)]
-                parts += [(np.flatnonzero(kinds == 1), step, salt) for step in (-1, 0, 1) for salt in range(salts)]
-                for rows_, step, salt in parts:
-                    block = own[rows_] + step
-                    rows_, block = rows_[(block >= 0) & (block < ranges)], block[(block >= 0) & (block < ranges)]
-                    if len(rows_):
-                        salt_ = ids[rows_] % salts if salt is None else np.full(len(rows_), salt)
-                        yield pa.record_batch({"c": pa.array(np.full(len(rows_), c, np.int32)), "block": pa.array(block.astype(np.int32)), "salt": pa.array(salt_.astype(np.int32)), "kind": pa.array(kinds[rows_]), "id": pa.array(ids[rows_]), "raw": raw.take(pa.array(rows_))})
-
-    def meet(one: pa.Table) -> pa.Table:
-        kinds, ids = one.column("kind").to_numpy(), one.column("id").to_numpy()
-        data = np.frombuffer(b"".join(one.column("raw").to_pylist()), np.float64).reshape(-1, size)
-        c, q = np.flatnonzero(kinds == 0), np.flatnonzero(kinds == 1)
-        out_q, out_c, out_d = [], [], []
-        if len(c) and len(q):
-            order = c[np.argsort(ids[c], kind="stable")]
-            near, names = data[order], ids[order]
-            for a in q.tolist():
-                d = np.sqrt(((near - data[a]) ** 2).sum(axis=1))
-                d[names == ids[a]] = np.inf
-                best = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
-                best = best[np.lexsort((names[best], d[best]))][:k]
-                best = best[np.isfinite(d[best])]
-                out_q.append(np.full(len(best), ids[a]))
-                out_c.append(names[best])
-                out_d.append(d[best])
+            for at in range(0, batch.num_rows, 4096):
+                some = batch.slice(at, 4096)
+                data, own = some.column("v").flatten().to_numpy().reshape(-1, size), some.column("id").to_numpy()
+                places = shape.value.keys(data)
+                for a in range(0, len(asked), 512):
+                    part = slice(a, a + 512)
+                    inside = np.zeros((len(asked[part]), len(own)), bool)
+                    for place, (low, high) in zip(places, windows, strict=True):
+                        inside |= (place >= low[part, None]) & (place < high[part, None])
+                    for q in range(len(inside)):
+                        row = np.flatnonzero(inside[q])
+                        gap = data[row] - points[a + q]
+                        square = np.einsum("ij,ij->i", gap, gap)
+                        held = best[a + q][0]
+                        if len(held) == k:  # what is surely farther than the k-th goes before it is measured
+                            close = square <= held[-1] ** 2 * (1 + 1e-9)
+                            row, gap = row[close], gap[close]
+                        d = np.sqrt((gap**2).sum(axis=1))
+                        use = (own[row] != asked[a + q]) | (gap != 0).any(axis=1)
+                        if use.any():
+                            best[a + q] = _merge(best[a + q], d[use], own[row][use], k)
+        n = [len(d) for d, _ in best]
         join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        return pa.table({"query_id": join(out_q, np.int64), "vec_id": join(out_c, np.int64), "score": join(out_d, np.float64)})
+        yield pa.record_batch({"query_id": pa.array(np.repeat(asked, n)), "n": pa.array(np.repeat(which, n)), "vec_id": pa.array(join([x for _, x in best], np.int64)), "score": pa.array(join([d for d, _ in best], np.float64))})
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    placed = sides.mapInArrow(place, "c int, block int, salt int, kind int, id long, raw binary").repartitionByRange(parts, "c", "block", "salt")
-    met = placed.groupBy("c", "block", "salt").applyInArrow(meet, "query_id long, vec_id long, score double").distinct()
-    first = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return met.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return rows.mapInArrow(scan, "query_id long, n long, vec_id long, score double")
 
 
 def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -246,6 +246,35 @@ def test_neighbours(spark):
     assert [(r.query_id, r.vec_id) for r in neighbours.search(few).collect()] == [(0, 1)]
 
 
+def test_neighbours_of_repeated_ids_in_blocks(spark):
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(400, 4))
+    rows = [(i % 250, x.tolist()) for i, x in enumerate(points)] + [(0, points[0].tolist())] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.search(df.repartition(7), every=10, k=3, block=6, ranges=1).collect()
+    want = []
+    for q in range(0, 250, 10):
+        for own in (q, q + 250)[: 1 + (q < 150)]:
+            d = np.sqrt(((points - points[own]) ** 2).sum(axis=1))
+            d[own] = np.inf
+            want += [(q, k + 1, int(j) % 250, d[j]) for k, j in enumerate(np.lexsort((np.arange(400) % 250, d))[:3])]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
+
+
+def test_neighbours_recall_in_windows(spark):
+    """Windows hold a part of the rows only; the data has clusters, as vectors of texts do."""
+    rng = np.random.default_rng(5)
+    data = (rng.normal(size=(40, 32))[rng.integers(0, 40, 12_000)] * 3 + rng.normal(size=(12_000, 32))).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(data)], "vec_id long, embedding array<double>")
+    got = neighbours.search(df, every=400, curves=16, range_rows=64, ranges=100).collect()
+    hits = 0
+    for q in range(0, 12_000, 400):
+        d = ((data - data[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len({r.vec_id for r in got if r.query_id == q} & set(np.argsort(d)[:10].tolist()))
+    assert hits >= 0.9 * 300
+
+
 def test_entire_texts_of_usual_licences(spark):
     folder = pathlib.Path(licenses.__file__).parent / "texts"
     want = {x.name.removesuffix(".txt"): x.read_text() for x in folder.iterdir()}
