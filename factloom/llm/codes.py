@@ -36,7 +36,7 @@ def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
-def _sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64) -> np.ndarray:
+def sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64) -> np.ndarray:
     """Polynomial hash of values[start:end], the same wherever the slice stands."""
     up, down = _powers(base, len(values))
     total = np.zeros(len(values) + 1, np.uint64)
@@ -102,7 +102,7 @@ def windows(counts: np.ndarray, codes: np.ndarray, width: int, step: int = 0) ->
     for a in range(0, len(places), 1 << 18):
         some = places[a : a + (1 << 18)]
         low = int(some[0])
-        out[a : a + len(some)] = mix(_sums(codes[low : int(some[-1]) + width], some - low, some - low + width, _STEPS[step]))
+        out[a : a + len(some)] = mix(sums(codes[low : int(some[-1]) + width], some - low, some - low + width, _STEPS[step]))
     return places, owner[places], out
 
 

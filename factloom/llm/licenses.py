@@ -16,7 +16,7 @@ from . import common
 
 #: Equivalent spellings, applied in this order after lower-casing.
 SPELLINGS = [
-    ("©", "(c)"), ("licence", "license"), ("sub-license", "sublicense"), ("sub license", "sublicense"),
+    ("\u2010", "-"), ("\u2011", "-"), ("©", "(c)"), ("licence", "license"), ("sub-license", "sublicense"), ("sub license", "sublicense"),
     ("non-commercial", "noncommercial"), ("https://", "http://"), ("per cent", "percent"), ("organisation", "organization"),
     ("authoris", "authoriz"), ("favour", "favor"), ("behaviour", "behavior"), ("fulfilment", "fulfillment"),
     ("copyright owner", "copyright holder"),
@@ -56,13 +56,20 @@ for _file in sorted(resources.files(__package__).joinpath("texts").iterdir(), ke
     TEXTS.setdefault(_file.name.removesuffix(".txt"), []).extend([_text] + ([_text[: _text.index(_END) + len(_END)]] if _END in _text else []))
 
 
+#: No-break space, guillemets, general punctuation, ideographic space and stops, byte order mark; in a character class.
+_TYPOGRAPHIC = "\u00a0\u00ab\u00bb\u2000-\u206f\u3000-\u3002\ufeff"
+
+
 def normalized(text: Column) -> Column:
-    """Lower-cased lines with one spelling, without copyright lines; other runs of punctuation or space are one space."""
+    """Lower-cased lines with one spelling, without copyright lines; other runs of punctuation or space are one space.
+
+    Typographic punctuation and spaces (curly quotes, dashes, no-break spaces, guillemets) count like any other.
+    """
     out = F.lower(text)
     for was, becomes in SPELLINGS:
         out = F.replace(out, F.lit(was), F.lit(becomes))
     out = F.regexp_replace(out, r"(?m)^[^a-z0-9\n]*(?:copyright[^a-z0-9\n]*(?:\(c\)|[0-9]{4})|\(c\)[^a-z0-9\n]*[0-9]{4}|all rights reserved)[^\n]*$", "")
-    return F.regexp_replace(out, r"[\x00-\x09\x0B-\x20!-/:-@\[-`{-\x7F]+", " ")
+    return F.regexp_replace(out, rf"[\x00-\x09\x0B-\x20!-/:-@\[-`{{-\x7F{_TYPOGRAPHIC}]+", " ")
 
 
 def digest(lines: Column) -> Column:
@@ -94,7 +101,9 @@ def scan(docs: DataFrame, known: dict[str, list[str]] | None = None, notices: di
     fitting = F.filter(F.split(F.col(lines_name), "\n"), lambda x: F.length(x).between(low, high + 2))
     found = F.filter(F.transform(fitting, lambda x: ids[digest(x)]), lambda x: x.isNotNull())
     marked = ready.select(*names, digest(F.col(lines_name)).alias("digest"), F.array_join(F.array_sort(F.array_distinct(found)), ",").alias("notices"))
-    joined = marked.join(F.broadcast(whole.withColumnRenamed("known", known_name)), F.col("digest") == F.col(known_name), "left")  # as many as texts are known
+    whole = whole.withColumnRenamed("known", known_name)
+    many = sum(map(len, (known or TEXTS).values())) > 100_000
+    joined = marked.join(whole if many else F.broadcast(whole), F.col("digest") == F.col(known_name), "left")  # as many as texts are known
     return joined.select(*names, "digest", "license_id", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
@@ -111,7 +120,7 @@ def oracle() -> str:
         for was, becomes in SPELLINGS:
             out = f"replace({out}, {quote(was)}, {quote(becomes)})"
         out = rf"regexp_replace({out}, '(?m)^[^a-z0-9\n]*(?:copyright[^a-z0-9\n]*(?:\(c\)|[0-9]{{4}})|\(c\)[^a-z0-9\n]*[0-9]{{4}}|all rights reserved)[^\n]*$', '', 'g')"
-        return rf"regexp_replace({out}, '[\x00-\x09\x0B-\x20!-/:-@\[-`{{-\x7F]+', ' ', 'g')"
+        return rf"regexp_replace({out}, '[\x00-\x09\x0B-\x20!-/:-@\[-`{{-\x7F{_TYPOGRAPHIC}]+', ' ', 'g')"
 
     dig = lambda x: rf"sha256(trim(regexp_replace({x}, '[ \n]+', ' ', 'g')))"
     rows = lambda t: ", ".join(f"({quote(k)}, {quote(x)})" for k, some in t.items() for x in some)

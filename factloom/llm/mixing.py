@@ -3,7 +3,7 @@
 Targets are filled like water: each source gets words by weight until it holds `most` times its own. Words are then
 dealt to sources by highest quotients (target / 1, / 3, / 5, ...), and a source's words to its shards the same way,
 in equal blocks, by the shards' sizes and up to what each can give; what is left is a part of a block. So every quota
-is an integer and the quotas add up. A source has a shard for each 2,000 blocks of its own words. A shard lays its
+is an integer and the quotas add up. A source has a shard for each 500 blocks of its own words. A shard lays its
 documents in a seeded order on one line of words and takes its blocks from the start of that line, round again where
 it takes more than it has.
 """
@@ -94,7 +94,8 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5.0,
     """
     docs = docs.drop("size", "source_size", "target", "taken")
     names = docs.columns
-    has, shard, at, quota, gap = (common.free(names, x) for x in ("has_source", "shard", "at", "quota", "source_key"))
+    own = [*names, "size", "source_size", "target", "taken"]
+    has, shard, at, quota, gap, h1, k1, h2, k2, s2 = (common.free(own, x) for x in ("has_source", "shard", "at", "quota", "source_key", "has_a", "key_a", "has_b", "key_b", "shard_b"))
     order = F.xxhash64(F.lit(seed), F.col(doc), F.md5(F.coalesce(F.col(text), F.lit(""))))
     sized = docs.withColumns({"size": F.size(common.words(F.col(text))).cast("long"), has: F.col(source).isNotNull(), gap: F.coalesce(F.col(source), F.lit("")), at: order})
     rows = sized.groupBy(has, gap).agg(F.sum("size").alias("source_size"))
@@ -105,13 +106,13 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5.0,
         total = int(all_.source_size.sum())
         target = fill(all_.source_size.to_numpy(), votes, share * total, most)
         words = bounded(target, round(target.sum()), most * all_.source_size.to_numpy())
-        shards = np.clip(all_.source_size.to_numpy() // (2000 * block), 1, 4096)
+        shards = np.maximum(all_.source_size.to_numpy() // (500 * block), 1)
         return all_.assign(target=target, words=words, shards=shards)[["h", "k", "source_size", "target", "words", "shards"]]
 
     goal = rows.select(F.lit(0).alias("all"), F.col(has).alias("h"), F.col(gap).alias("k"), "source_size").groupBy("all").applyInPandas(targets, "h boolean, k string, source_size long, target double, words long, shards long")
-    number = F.broadcast(goal.select(F.col("h").alias("h_"), F.col("k").alias("k_"), F.col("shards").alias(shard)))  # as many as sources
-    sized = sized.join(number, (F.col(has) == F.col("h_")) & (F.col(gap) == F.col("k_"))).drop("h_", "k_")
-    sized = sized.withColumn(shard, F.pmod(F.col(at), F.col(shard)).cast("int"))
+    number = F.broadcast(goal.select(F.col("h").alias(h1), F.col("k").alias(k1), F.col("shards").alias(shard)))  # as many as sources
+    sized = sized.join(number, (F.col(has) == F.col(h1)) & (F.col(gap) == F.col(k1))).drop(h1, k1)
+    sized = sized.withColumn(shard, F.pmod(F.col(at), F.col(shard)).cast("long"))
     shards = sized.groupBy(has, gap, shard).agg(F.sum("size").alias("shard_size"))
 
     def quotas(one: pd.DataFrame) -> pd.DataFrame:
@@ -119,13 +120,13 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5.0,
         return one.assign(quota=deal(one.shard_size.to_numpy(), int(one.words.iloc[0]), most, block))[["h", "k", "s", "source_size", "target", "quota"]]
 
     parts = shards.select(F.col(has).alias("h"), F.col(gap).alias("k"), F.col(shard).alias("s"), "shard_size").join(goal, ["h", "k"])
-    dealt = parts.groupBy("h", "k").applyInPandas(quotas, "h boolean, k string, s int, source_size long, target double, quota long").toDF("h__", "k__", "s__", "source_size", "target", quota)
+    dealt = parts.groupBy("h", "k").applyInPandas(quotas, "h boolean, k string, s long, source_size long, target double, quota long").toDF(h2, k2, s2, "source_size", "target", quota)
     line = Window.partitionBy(has, gap, shard)
     run = line.orderBy(at, doc).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     past, whole = F.sum("size").over(run), F.sum("size").over(line)
     ends, all_words = common.free(names, "line_end"), common.free(names, "line_size")
     laid = sized.withColumns({ends: past, all_words: whole})
-    both = laid.join(dealt, (F.col(has) == F.col("h__")) & (F.col(gap) == F.col("k__")) & (F.col(shard) == F.col("s__")))
+    both = laid.join(dealt, (F.col(has) == F.col(h2)) & (F.col(gap) == F.col(k2)) & (F.col(shard) == F.col(s2)))
     want = F.col(quota)
     rounds = F.when(F.col(all_words) > 0, F.floor(want / F.col(all_words))).otherwise(0)
     rest = want - rounds * F.col(all_words)

@@ -201,7 +201,12 @@ def train(labels: DataFrame, docs: DataFrame, learn, most_rows: int = 4000) -> M
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds quality (0 to 1) to each document; an empty or null text gets the score of no features."""
+    """Adds quality (0 to 1) to each document; an empty or null text gets the score of no features.
+
+    Only the text counts, so repeated rows and rows without an id are scored like any other. An empty table gives an empty
+    table. A column named quality is replaced; other columns are carried along, whatever their names.
+    """
+    common.bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
     carried = [c for c in docs.columns if c.lower() != "quality"]
 

@@ -159,7 +159,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, doc: str
 
     Texts without words, and null texts, have fingerprint zero, which links like any other. A row without an id is
     linked but never names a component; a component of such rows alone has a null id. Repeated rows stay repeated.
+    Up to 200,000 distinct fingerprints are broadcast with their components; beyond that rows are joined by
+    fingerprint (AQE splits what many copies share).
     """
+    common.bounded(docs.sparkSession)
     rows = common.cut(fingerprints(docs, shingle, doc, text))
     fps = common.cut(rows.groupBy("fp").agg(F.min("doc").alias("least")))
     joined = components(links(fps, radius))
@@ -167,7 +170,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, doc: str
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     of = named.join(least, "root").select("fp", "component")
     of = fps.join(of, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
-    return rows.join(of, "fp")
+    return rows.join(common.small(common.cut(of)), "fp")
 
 
 _PARITIES = 1024

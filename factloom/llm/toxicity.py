@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .codes import spans
+from .codes import spans, sums
 from .quality import labelled, remainder
 
 BITS, WIDTH, ORDERS = 17, 8, (3, 4, 5)
@@ -48,14 +48,8 @@ def _grams(buffer: np.ndarray, first: np.ndarray, past: np.ndarray) -> Iterator[
         if n in ORDERS:
             rows = ((code * odd) ^ (code >> np.uint64(29))) * odd >> shift
             yield rows.astype(np.int32), np.minimum(first - 1, len(rows)), np.minimum(np.maximum(first - 1, past + 2 - n), len(rows))
-    step = np.uint64(0x100000001B3)
-    value = np.zeros(len(first), np.uint64)
+    value = sums(wide, first, past, np.uint64(0x100000001B3))
     length = past - first
-    for k in range(int(length.max()) if len(length) else 0):  # words longer than 40 bytes go by their first 40
-        if k == 40:
-            break
-        on = length > k
-        value[on] = value[on] * step + wide[first[on] + k]
     yield (((value ^ length.astype(np.uint64)) * odd) >> shift).astype(np.int32), np.arange(len(first)), np.arange(1, len(first) + 1)
 
 
@@ -193,7 +187,12 @@ def train(labels: DataFrame, docs: DataFrame, learn, most_rows: int = 5000) -> M
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds toxicity (0 to 1) to each document; a text without words, or null, gets the score of the bias alone."""
+    """Adds toxicity (0 to 1) to each document; a text without words, or null, gets the score of the bias alone.
+
+    Only the text counts, so repeated rows and rows without an id are scored like any other. An empty table gives an empty
+    table. A column named toxicity is replaced; other columns are carried along, whatever their names.
+    """
+    common.bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
     carried = [c for c in docs.columns if c.lower() != "toxicity"]
 

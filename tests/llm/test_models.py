@@ -275,6 +275,90 @@ def test_neighbours_recall_in_windows(spark):
     assert hits >= 0.9 * 300
 
 
+def test_typographic_variants_of_a_licence(spark):
+    text = licenses.TEXTS["MIT"][0]
+    odd = text.replace('"Software"', "\u201cSoftware\u201d").replace(" of ", "\u00a0of\u2003").replace(", ", " \u2014 ")
+    rows = [(1, odd), (2, "\ufeff" + text), (3, text + " and more")]
+    found = {r.doc_id: r.license_id for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: "MIT", 2: "MIT", 3: None}
+
+
+def test_whole_words_count_in_bags():
+    """Words that differ after their fortieth byte have different rows."""
+    long_ = "ab" * 30
+    buffer = np.frombuffer(f" {long_}x {long_}y {long_}x ".encode(), np.uint8)
+    first, past = np.array([1, 63, 125]), np.array([62, 124, 186])
+    rows = list(toxicity._grams(buffer, first, past))[-1][0]
+    assert rows[0] == rows[2] != rows[1]
+
+
+def test_bags_equal_plain_averages():
+    """A word's log-odds are the mean over its n-grams and itself, a document's the greatest of its words'."""
+    rng = np.random.default_rng(1)
+    model = toxicity.Model(rng.normal(size=1 << toxicity.BITS).astype(np.float32), -0.5)
+    words = ["badger", "ox", "caterpillar", "badger"]
+    odds = []
+    for w in words:
+        buffer = np.frombuffer(f" {w} ".encode(), np.uint8)
+        picked = [model.weights[r[a[0] : b[0]]] for r, a, b in toxicity._grams(buffer, np.array([1]), np.array([1 + len(w)]))]
+        flat = np.concatenate(picked).astype(float)
+        assert len(flat) == 1 + sum(max(0, len(w) + 3 - n) for n in toxicity.ORDERS)
+        odds.append(flat.mean() - 0.5)
+    text = toxicity.plain("Badger, ox! caterpillar badger")
+    assert np.allclose(model.texts([text, b"", text]), 1 / (1 + np.exp(-np.array([max(odds), -0.5, max(odds)]))))
+
+
+def test_hinge_by_dual_descent_is_optimal():
+    """Ratios equal plain counting, and no primal step improves the hinge objective."""
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 30, 8)).astype(np.int32) for _ in range(80)]
+    y = np.where([(r < 12).sum() > (r >= 18).sum() for r in rows], 1, -1)
+    model = quality._fit_hinge(rows, y, rounds=400)
+    counts = {k: np.ones(1 << quality.BITS) for k in (1, -1)}
+    for ids, label in zip(rows, y):
+        counts[label][ids] += 1
+    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[-1] / counts[-1].sum())
+    assert np.allclose(model.squares, ratio**2, rtol=1e-5)
+    x = np.zeros((80, 31))
+    for i, ids in enumerate(rows):
+        x[i, ids] = ratio[ids] / max(1.0, np.sqrt((ratio[ids] ** 2).sum()))
+    x[:, 30] = 1
+    cost = np.where(y == 1, 80 / (2 * (y == 1).sum()), 80 / (2 * (y == -1).sum()))
+    goal = lambda w: 0.5 * w @ w + (cost * np.maximum(0, 1 - y * (x @ w))).sum()
+    w = np.append(model.weights[:30] / np.where(ratio[:30] == 0, 1, ratio[:30]), model.bias)
+    best, at = goal(w), np.zeros(31)
+    for step in range(1, 30_000):  # plain subgradient descent, from nothing
+        active = (1 - y * (x @ at)) > 0
+        at = at - (at - (cost * y * active) @ x) / step
+        best = min(best, goal(at))
+    assert goal(w) <= best * 1.01 + 1e-6
+
+
+def test_fusion_equals_bayes_row_by_row(spark):
+    """Priors without a row's own posterior at any level, smoothed down to the host, times all likelihoods."""
+    rng = np.random.default_rng(7)
+    hosts = ["a.x.de", "b.x.de", "c.y.fr", "c.y.fr", "a.x.de", "", "z.w.de"]
+    ll, k, strength = rng.normal(size=(7, 4)), 4, 5.0
+    own = np.exp(ll) / np.exp(ll).sum(axis=1, keepdims=True)
+    group = lambda f: [f(h) for h in hosts]
+    keys = [group(lambda h: h.rpartition(".")[2]), group(lambda h: ".".join(h.split(".")[-2:])), hosts]
+    levels = np.array([[own[[x == key[i] for x in key]].sum(axis=0) for key in keys] for i in range(7)])
+    tables = [np.log(rng.dirichlet(np.ones(4), 4)) for _ in range(2)]
+    declared, suffix = np.array([0, -1, 2, 3, -1, 1, 0]), np.array([1, 1, 2, -1, 1, -1, 1])
+    got = language.Evidence(own.sum(axis=0), *tables).posterior(ll, np.array([h != "" for h in hosts]), levels, declared, suffix, strength)
+    for i in range(7):
+        others = [j for j in range(7) if j != i]
+        prior = own[others].sum(axis=0) + 1
+        prior /= prior.sum()
+        if hosts[i]:
+            for key in keys:
+                left = sum((own[j] for j in others if key[j] == key[i]), np.zeros(k))
+                prior = (left + strength * prior) / (left.sum() + strength)
+        score = ll[i] + np.log(prior) + (tables[0][declared[i]] if declared[i] >= 0 else 0) + (tables[1][suffix[i]] if suffix[i] >= 0 else 0)
+        want = np.exp(score - score.max())
+        assert np.allclose(got[i], want / want.sum())
+
+
 def test_entire_texts_of_usual_licences(spark):
     folder = pathlib.Path(licenses.__file__).parent / "texts"
     want = {x.name.removesuffix(".txt"): x.read_text() for x in folder.iterdir()}

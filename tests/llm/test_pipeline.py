@@ -10,3 +10,19 @@ def test_stages_keep_their_contract(spark, sf):
         assert stage(spark, docs, sf).columns == docs.columns
     empty = docs.limit(0)
     assert all(stage(spark, empty, sf).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
+def test_stages_keep_columns_of_any_name(spark, sf):
+    """Columns named like what a stage adds, nulls, empty texts, repeated rows and rows without ids."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    own = ["language", "Confidence", "posterior", "kept_text", "n_words", "n_removed", "size", "target", "taken", "source_size", "words_taken", "top_", "k__", "gone", "host_of"]
+    extra = docs.selectExpr("*", *[f"'mine' AS {c}" for c in own])
+    odd = spark.createDataFrame([(None, "the cat sat on the mat and the dog " * 5, "en", None, 1), (9001, None, None, "src1", 0), (9002, "", "xx", "src1", 0), (9003, " \n ", "en", "src1", 0)] + [(9004, "this is the very same row with a few words in it", "en", "src2", 9)] * 2, docs.schema)
+    rows = extra.unionByName(odd.selectExpr("*", *[f"'mine' AS {c}" for c in own]))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows, sf)
+        assert out.columns == rows.columns, name
+        found = out.collect()
+        assert found and all(r[c] == "mine" for r in found for c in own), name
+    again = corpus_pipeline.without_near_copies(spark, rows, sf).collect()
+    assert sum(r.doc_id == 9004 for r in again) == 1 and {9001, 9002, 9003} <= {r.doc_id for r in again}
