@@ -38,13 +38,13 @@ def _letters(text: str | None) -> bytes:
 
 
 def _trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of all trigrams that do not span two words, and each text's first cell."""
-    buffer = np.frombuffer(b"  ".join(texts) + b"  ", np.uint8).astype(np.uint32)
-    ends = np.cumsum([len(x) + 2 for x in texts])
+    """Cells of all trigrams that do not span two words, and each text's first cell. A text has a space before and behind it."""
+    buffer = np.frombuffer(b"  " + b"  ".join(texts) + b"  ", np.uint8).astype(np.uint32)
+    begins = 2 + np.cumsum([0, *[len(x) + 2 for x in texts]])[:-1]
     a, b, c = buffer[:-2], buffer[1:-1], buffer[2:]
     code = ((a | b << np.uint32(8) | c << np.uint32(16)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - 15)
     use = np.flatnonzero((b != 32) & ~((a == 32) & (c == 32)))
-    return code[use], np.searchsorted(use, np.concatenate([[0], ends[:-1] - 1]))  # a text begins with the space before it
+    return code[use], np.searchsorted(use, begins - 1)
 
 
 def train(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, text: str = "text", lang: str = "lang") -> np.ndarray:
