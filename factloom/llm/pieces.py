@@ -138,7 +138,7 @@ class _Memo(dict):
 class Scan:
     """Encoding by a Pieces table; remembers what it has found, within bounds."""
 
-    def __init__(self, pieces: Pieces, most: int = 80_000):
+    def __init__(self, pieces: Pieces, most: int = 160_000):
         self.p = pieces
         self.many = len(pieces.names)
         self.pairs = _Memo(lambda pair: pieces.apart(pieces.names[pair // self.many], pieces.names[pair % self.many]), most)
