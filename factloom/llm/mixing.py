@@ -13,7 +13,7 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -100,27 +100,29 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5.0,
     sized = docs.withColumns({"size": F.size(common.words(F.col(text))).cast("long"), has: F.col(source).isNotNull(), gap: F.coalesce(F.col(source), F.lit("")), at: order})
     rows = sized.groupBy(has, gap).agg(F.sum("size").alias("source_size"))
 
-    def targets(all_: pd.DataFrame) -> pd.DataFrame:
-        all_ = all_.assign(code=[x.encode("utf-8") for x in all_.k]).sort_values(["h", "code"], ascending=[False, True], kind="stable")
-        votes = np.array([weights[i % len(weights)] for i in range(len(all_))])
-        total = int(all_.source_size.sum())
-        target = fill(all_.source_size.to_numpy(), votes, share * total, most)
-        words = bounded(target, round(target.sum()), most * all_.source_size.to_numpy())
-        shards = np.maximum(all_.source_size.to_numpy() // (500 * block), 1)
-        return all_.assign(target=target, words=words, shards=shards)[["h", "k", "source_size", "target", "words", "shards"]]
-
-    goal = rows.select(F.lit(0).alias("all"), F.col(has).alias("h"), F.col(gap).alias("k"), "source_size").groupBy("all").applyInPandas(targets, "h boolean, k string, source_size long, target double, words long, shards long")
+    def targets(all_: pa.Table) -> pa.Table:
+        names_ = list(zip(all_.column("h").to_pylist(), [x.encode() for x in all_.column("k").to_pylist()], strict=True))
+        all_ = all_.take(sorted(range(len(names_)), key=lambda i: (not names_[i][0], names_[i][1])))
+        sizes = all_.column("source_size").to_numpy()
+        votes = np.array([weights[i % len(weights)] for i in range(len(sizes))])
+        target = fill(sizes, votes, share * int(sizes.sum()), most)
+        words = bounded(target, round(target.sum()), most * sizes)
+        shards = np.maximum(sizes // (500 * block), 1)
+        return pa.table({"h": all_.column("h"), "k": all_.column("k"), "source_size": sizes, "target": target, "words": words, "shards": shards})
+
+    goal = rows.select(F.lit(0).alias("all"), F.col(has).alias("h"), F.col(gap).alias("k"), "source_size").groupBy("all").applyInArrow(targets, "h boolean, k string, source_size long, target double, words long, shards long")
     number = F.broadcast(goal.select(F.col("h").alias(h1), F.col("k").alias(k1), F.col("shards").alias(shard)))  # as many as sources
     sized = sized.join(number, (F.col(has) == F.col(h1)) & (F.col(gap) == F.col(k1))).drop(h1, k1)
     sized = sized.withColumn(shard, F.pmod(F.col(at), F.col(shard)).cast("long"))
     shards = sized.groupBy(has, gap, shard).agg(F.sum("size").alias("shard_size"))
 
-    def quotas(one: pd.DataFrame) -> pd.DataFrame:
-        one = one.sort_values("s", kind="stable")
-        return one.assign(quota=deal(one.shard_size.to_numpy(), int(one.words.iloc[0]), most, block))[["h", "k", "s", "source_size", "target", "quota"]]
+    def quotas(one: pa.Table) -> pa.Table:
+        one = one.sort_by("s")
+        quota = deal(one.column("shard_size").to_numpy(), one.column("words")[0].as_py(), most, block)
+        return one.select(["h", "k", "s", "source_size", "target"]).append_column("quota", pa.array(quota, pa.int64()))
 
     parts = shards.select(F.col(has).alias("h"), F.col(gap).alias("k"), F.col(shard).alias("s"), "shard_size").join(goal, ["h", "k"])
-    dealt = parts.groupBy("h", "k").applyInPandas(quotas, "h boolean, k string, s long, source_size long, target double, quota long").toDF(h2, k2, s2, "source_size", "target", quota)
+    dealt = parts.groupBy("h", "k").applyInArrow(quotas, "h boolean, k string, s long, source_size long, target double, quota long").toDF(h2, k2, s2, "source_size", "target", quota)
     line = Window.partitionBy(has, gap, shard)
     run = line.orderBy(at, doc).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     past, whole = F.sum("size").over(run), F.sum("size").over(line)

@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,7 +113,7 @@ def _cut_text(text: bytes, starts: np.ndarray, ends: np.ndarray, gone: np.ndarra
     return b"".join([*out, text[at:]])
 
 
-def dedup_substrings(docs: DataFrame, window: int = 13, doc: str = "doc_id", text: str = "text", bucket_bytes: int = 5 << 20, group_suffixes: int = 1_000_000) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 13, doc: str = "doc_id", text: str = "text", bucket_bytes: int = 4 << 20, group_suffixes: int = 600_000) -> DataFrame:
     """Adds kept_text, n_words and n_removed to each document.
 
     Removed is each word covered by a window of `window` words that also starts in a document of smaller id.
@@ -146,11 +145,10 @@ def dedup_substrings(docs: DataFrame, window: int = 13, doc: str = "doc_id", tex
             yield pa.record_batch({"kind": pa.array(np.full(len(keys), kind, np.int32)), "key": pa.array(keys), "n": pa.array(values[keys])})
         common.release()
 
-    seen = docs.select(F.col(doc).cast("long").alias("i"), F.col(text).alias("t")).mapInArrow(survey, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).toPandas()
+    seen = docs.select(F.col(doc).cast("long").alias("i"), F.col(text).alias("t")).mapInArrow(survey, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).toArrow()
+    kind, at_, n_ = (seen.column(c).to_numpy() for c in ("kind", "key", "n"))
     size, cells = np.zeros(len(marks) + 1, np.int64), np.zeros(_CELLS, np.int64)
-    for kind, into in ((0, size), (1, cells)):
-        some = seen[seen.kind == kind]
-        into[some.key.to_numpy(np.int64)] = some.n.to_numpy(np.int64)
+    size[at_[kind == 0]], cells[at_[kind == 1]] = n_[kind == 0], n_[kind == 1]
     forest = _Forest(cells, group_suffixes)
     bounds, salts, held = [], {}, 0
     for i, n in enumerate(size.tolist()):
@@ -163,14 +161,14 @@ def dedup_substrings(docs: DataFrame, window: int = 13, doc: str = "doc_id", tex
             salts[len(bounds)] = -(-n // bucket_bytes)
     bounds = np.array(bounds, np.int64)
 
-    @F.pandas_udf("long")
-    def bucket_of(x: pd.Series, other: pd.Series) -> pd.Series:
+    @F.arrow_udf("long")
+    def bucket_of(x: pa.Array, other: pa.Array) -> pa.Array:
         """A bucket's rank, then its number among those of the same rank."""
-        rank = np.searchsorted(bounds, x.fillna(_LAST).to_numpy(np.int64), "right").astype(np.int64)
+        rank = np.searchsorted(bounds, x.fill_null(_LAST).to_numpy(zero_copy_only=False), "right").astype(np.int64)
         salt = np.zeros(len(rank), np.int64)
         for k, n in salts.items():
-            salt = np.where(rank == k, other.to_numpy(np.int64) % n, salt)
-        return pd.Series(rank << 20 | salt)
+            salt = np.where(rank == k, other.to_numpy(zero_copy_only=False) % n, salt)
+        return pa.array(rank << 20 | salt)
 
     key = common.free(docs.columns, "bucket")
     least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
