@@ -17,8 +17,8 @@ Models of type BPE with or without byte fallback are read from their file; nothi
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterator, Sequence
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,6 @@ from . import common
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-NONE = -1  # no piece yet
 SHORT = 64  # characters of a run that is traced from its end
 _INF = float("-inf")
 
@@ -65,9 +64,10 @@ class Pieces:
         self.id = {name: self.rank[name][1] for name in self.left}
         ends: dict[str, set[int]] = {}
         for name in self.id:
-            ends.setdefault(name[-2:], {1}).add(len(name))
-        #: lengths of the pieces that may end where these two characters do, longest first
-        self.ends = {pair: tuple(sorted(lengths, reverse=True)) for pair, lengths in ends.items()}
+            if len(name) > 2:
+                ends.setdefault(name[-3:], {2, 1}).add(len(name))
+        #: lengths of the pieces that may end where these three characters do, longest first; elsewhere 2 and 1
+        self.ends = {last: tuple(sorted(lengths, reverse=True)) for last, lengths in ends.items()}
         crossing = any(SPACE in x.lstrip(SPACE) for x in self.id)
         letters = "".join(re.escape(x) for x in self.id if len(x) == 1 and x != SPACE)
         run = f"[{letters}{SPACE}]+" if crossing else f"{SPACE}*[{letters}]+|{SPACE}+"
@@ -117,6 +117,14 @@ class Pieces:
                 y, t = starts[j]
 
 
+def _path(ids: Sequence[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
+def _ids(path: bytes) -> np.ndarray:
+    return np.frombuffer(path, np.int32)
+
+
 class _Memo(dict):
     """Remembers what `make` gives, in two generations of `most` entries, so that what is in use stays."""
 
@@ -136,15 +144,18 @@ class _Memo(dict):
 
 
 class Scan:
-    """Encoding by a Pieces table; remembers what it has found, within bounds."""
+    """Encoding by a Pieces table; remembers what it has found, within bounds.
+
+    A path is the bytes of its ids, four for each: paths are joined without touching single ids.
+    """
 
     def __init__(self, pieces: Pieces, most: int = 160_000):
         self.p = pieces
-        self.many = len(pieces.names)
-        self.pairs = _Memo(lambda pair: pieces.apart(pieces.names[pair // self.many], pieces.names[pair % self.many]), most)
-        self.runs = _Memo(lambda text: self.bytes_of(text) if len(text) == 1 and text not in pieces.id else self._run(text), most)
+        self.one = {name: _path([i]) for name, i in pieces.id.items()}
+        self.pairs = _Memo(lambda pair: pieces.apart(*[pieces.names[i] for i in _ids(pair)]), most)
+        self.runs = _Memo(self._run, most)
         byte = {i: bytes([b]) for b, i in pieces.byte.items()}
-        self.raw = [byte.get(i) or name.replace(SPACE, " ").encode() for i, name in enumerate(pieces.names)]
+        self.raw = pa.array([byte.get(i) or name.replace(SPACE, " ").encode() for i, name in enumerate(pieces.names)], pa.large_binary())
 
     def rest(self) -> None:
         """Between tasks: forgets the older generation, so that a waiting worker holds little."""
@@ -155,49 +166,62 @@ class Scan:
         """None is the start of a text, or a character that no piece holds."""
         if a is None or b is None:
             return True
-        return self.pairs[self.p.id[a] * self.many + self.p.id[b]]
+        return self.pairs[self.one[a] + self.one[b]]
 
-    def _run(self, text: str) -> tuple[int, ...]:
+    def _run(self, text: str) -> bytes:
         """Path through a run between hard borders. That of a short run is a remembered prefix's path and its last piece."""
-        known, longest = self.p.id, self.p.longest
-        if len(text) <= SHORT:
-            if text in known:
-                return (known[text],)
-            size = len(text)
-            for n in self.p.ends.get(text[-2:], (1,)):
-                piece = text[-n:]
-                if piece in known and n < size:
-                    path, last = self.runs[text[:-n]], known[piece]
-                    if self.pairs[path[-1] * self.many + last]:
-                        return (*path, last)
+        known, longest, size = self.one, self.p.longest, len(text)
+        if size <= SHORT:
+            found = known.get(text)
+            if found:
+                return found
+            if size == 1:
+                return self.bytes_of(text)
+            for n in self.p.ends.get(text[-3:], (2, 1)):
+                last = known.get(text[-n:])
+                if last and n < size:
+                    path = self.runs[text[:-n]]
+                    if self.pairs[path[-4:] + last]:
+                        return path + last
             raise ValueError(f"no path through {text!r}")
-        ends: list[int] = [NONE] * (len(text) + 1)  # the last piece of each prefix
+        ends = [b""] * (len(text) + 1)  # the last piece of each prefix
+        sizes = [0] * (len(text) + 1)  # and its characters
         for end in range(1, len(text) + 1):
             for start in range(end - longest if end > longest else 0, end):
                 piece = known.get(text[start:end])
-                if piece is not None and (not start or self.pairs[ends[start] * self.many + piece]):
-                    ends[end] = piece
+                if piece and (not start or self.pairs[ends[start] + piece]):
+                    ends[end], sizes[end] = piece, end - start
                     break
         out, at = [], len(text)
         while at:
             out.append(ends[at])
-            at -= len(self.p.names[ends[at]])
-        return tuple(reversed(out))
+            at -= sizes[at]
+        return b"".join(reversed(out))
 
-    def bytes_of(self, char: str) -> tuple[int, ...]:
+    def bytes_of(self, char: str) -> bytes:
         """A character that no piece holds: its bytes, or the unknown piece."""
         p = self.p
-        return tuple(p.byte[b] for b in char.encode()) if len(p.byte) == 256 else (p.unknown,)
+        return _path([p.byte[b] for b in char.encode()] if len(p.byte) == 256 else [p.unknown])
 
     def marked(self, text: str) -> str:
         return (SPACE if self.p.prefix else "") + text.replace(" ", SPACE) if text else ""
 
+    def path(self, text: str) -> bytes:
+        return b"".join(map(self.runs.__getitem__, self.p.run.findall(self.marked(text))))
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.runs.__getitem__, self.p.run.findall(self.marked(text)))))
+        return _ids(self.path(text)).tolist()
 
     def decode(self, ids: list[int]) -> str:
-        out = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
-        return out[1:] if self.p.prefix and out.startswith(" ") else out
+        return self.bytes_from(pa.array(ids, pa.int32()), [0, len(ids)])[0].decode("utf-8", "replace")
+
+    def bytes_from(self, ids: pa.Array, at: Sequence[int]) -> list[bytes]:
+        """UTF-8 bytes of the texts whose ids lie between each two places of `at`."""
+        taken = self.raw.take(ids)
+        ends = np.frombuffer(taken.buffers()[1], np.int64, len(ids) + 1)[np.asarray(at)].tolist() if len(ids) else [0] * len(at)
+        whole = (taken.buffers()[2] or b"") if len(ids) else b""
+        out = [bytes(whole[i:j]) for i, j in pairwise(ends)]
+        return [x[1:] if x.startswith(b" ") else x for x in out] if self.p.prefix else out
 
     # Chunks of a giant text. `at` and `to` are places in `text`, a slice that reaches `longest` characters further on both sides.
 
@@ -272,27 +296,27 @@ class Scan:
         some = [x for x in ends if at + self.p.longest <= x <= to - self.p.longest]
         return (some[0], some[-1]) if len(some) > 1 else None
 
-    def _back(self, text: str, start: tuple[int, str | None], node: tuple[int, str | None], back: dict) -> list[tuple[int, ...]]:
+    def _back(self, text: str, start: tuple[int, str | None], node: tuple[int, str | None], back: dict) -> list[bytes]:
         out = []
         while node != start:
             before = back[node]
-            out.append((self.p.id[node[1]],) if node[1] is not None else self.bytes_of(text[before[0] : node[0]]))
+            out.append(self.one[node[1]] if node[1] is not None else self.bytes_of(text[before[0] : node[0]]))
             node = before
         return out[::-1]
 
-    def trace(self, text: str, at: int, to: int, entry: int, exit_: int, whole: bool) -> list[int]:
+    def trace(self, text: str, at: int, to: int, entry: int, exit_: int, whole: bool) -> np.ndarray:
         """Ids of the pieces after the entry state up to the exit state."""
         first, last = self.states(text, at, False)[entry], self.states(text, to, whole)[exit_]
         inner, end = self._inner(text, at, to), (to + last[0], last[1])
         if not inner:
             _, back = self.forward(text, at, to, [first], whole)
-            return list(chain.from_iterable(self._back(text, (at + first[0], first[1]), end, back)))
+            return _ids(b"".join(self._back(text, (at + first[0], first[1]), end, back)))
         nodes, back = self.forward(text, at, inner[0], [first], True)
         (piece,) = nodes[inner[0]]
         out = self._back(text, (at + first[0], first[1]), (inner[0], piece), back)
         out += map(self.runs.__getitem__, self.p.run.findall(text, inner[0], inner[1]))
         _, back = self.forward(text, inner[1], to, [(0, None)], whole)
-        return list(chain.from_iterable(out + self._back(text, (inner[1], None), end, back)))
+        return _ids(b"".join(out + self._back(text, (inner[1], None), end, back)))
 
 
 def compose(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -356,9 +380,12 @@ def encode(docs: DataFrame, model_file: str = MODEL, text: str = "text", giant:
         for batch in batches:
             for some in common.pieces(batch, text, 1 << 20):
                 texts = some.column(text).to_pylist()
-                ids = [None if x is None else scan.encode(x) for x in texts]
-                same = [None if x is None else scan.decode(i) == x for x, i in zip(texts, ids, strict=True)]
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], [*names, "ids", "round_trip"])
+                paths = [b"" if x is None else scan.path(x) for x in texts]
+                at = np.cumsum([0, *[len(x) // 4 for x in paths]], dtype=np.int32)
+                flat, none = pa.array(_ids(b"".join(paths))), pa.array([x is None for x in texts], pa.bool_())
+                same = [None if x is None else x.encode() == y for x, y in zip(texts, scan.bytes_from(flat, at), strict=True)]
+                ids = pa.ListArray.from_arrays(pa.array(at), flat, type=pa.list_(pa.int32()), mask=none)
+                yield pa.RecordBatch.from_arrays([*some.columns, ids, pa.array(same, pa.bool_())], [*names, "ids", "round_trip"])
         scan.rest()
 
     # Giant texts, each once.
@@ -397,7 +424,8 @@ def encode(docs: DataFrame, model_file: str = MODEL, text: str = "text", giant:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                same = scan.decode(row.column("ids")[0].as_py()) == row.column(text)[0].as_py()
+                ids = row.column("ids")[0].values
+                same = scan.bytes_from(ids, [0, len(ids)]) == [row.column(text)[0].as_py().encode()]
                 yield pa.RecordBatch.from_arrays([*[row.column(c) for c in [*names, "ids"]], pa.array([same], pa.bool_())], [*names, "ids", "round_trip"])
 
     size = F.coalesce(F.length(text), F.lit(0))
