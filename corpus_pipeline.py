@@ -37,6 +37,7 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (shingles of five words, similarity 0.8): that of smallest id.
 
+    Covering SimHash links near fingerprints; pairs of that similarity beyond its radius are found by shared shingles.
     Texts without words, and null texts, are nobody's copies. Of rows of one id, and of a group without ids, one stays.
     """
     return simhash.without_copies(docs)

@@ -283,11 +283,24 @@ def _meetings(placed: DataFrame, p: int, q: int, turn: int | None = None) -> Dat
     return placed.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
+def _by_fingerprint(nodes: DataFrame, radius: int = 4) -> DataFrame:
+    """Pairs (a < b) that join all nodes (node, fp) whose fingerprints differ in `radius` bits or fewer, by covering LSH.
+
+    Of nodes with one fingerprint each is paired with the smallest, and the smallest ones stand for linked fingerprints.
+    """
+    least = common.cut(nodes.groupBy("fp").agg(F.min("node").alias("least")))
+    linked = links(least.select("fp"), radius)
+    same = nodes.join(common.small(least), "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    ends = linked.join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b")
+    return same.unionByName(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
 def _similar(keyed: DataFrame, nodes: DataFrame, judged: Callable[[DataFrame], DataFrame], p: int, q: int, most: int = 2048) -> DataFrame:
-    """node, root: components over all pairs of nodes (node, n, bits, wide) that judged() keeps. keyed: node, key of prefixes.
+    """node, root: components over all pairs of nodes (node, n, fp, bits, wide) that judged() keeps. keyed: node, key of prefixes.
 
-    Two sets of similarity p / q share a code of their prefixes: they meet in that code's bucket. Each node is judged
-    against one smallest node that it meets. Then, as long as that joins many, each node is judged against one node
+    Covering SimHash proposes the pairs of near fingerprints. Its radius does not reach all pairs of similarity p / q,
+    so an exact way follows for the rest: two such sets share a code of their prefixes and meet in that code's bucket.
+    Each node is judged against one smallest node that it meets. Then, as long as that joins many, each node is judged against one node
     of another component, so a large group of copies costs its size and not its square. At last all pairs of a bucket
     that are not in one component yet are proposed. Buckets with more rows than `most` are cut in blocks that meet in pairs.
     """
@@ -309,7 +322,8 @@ def _similar(keyed: DataFrame, nodes: DataFrame, judged: Callable[[DataFrame], D
         both = pairs.join(about.withColumnRenamed("node", "a"), "a").join(about.toDF("b", "n2", "bits2", "wide2"), "b")
         return common.cut(both.mapInArrow(may, "a long, b long"))
 
-    tried = possible(shared.where("node <> lead").groupBy(F.col("node").alias("b")).agg(F.min("lead").alias("a")))
+    leads = shared.where("node <> lead").groupBy(F.col("node").alias("b")).agg(F.min("lead").alias("a"))
+    tried = possible(_by_fingerprint(nodes.select("node", "fp")).unionByName(leads).distinct())
     found = common.cut(judged(tried))
     blocks = F.ceil(F.col("c") / most).cast("int")
     turn: int | None = 0
@@ -387,23 +401,24 @@ def _grouped(docs: DataFrame, shingle: int, similarity: float, most: int, doc: s
         seen: set[int] = set()  # equal sets of a task send their bits and prefix once
         for batch in batches:
             for some in common.pieces(batch, "t", 1 << 21):
-                node, n, bits, wide, prefix = [], [], [], [], []
+                node, n, fp, bits, wide, prefix = [], [], [], [], [], []
                 for x in common.texts_of(some.column("t")):
                     codes = np.unique(shingle_codes(x, shingle))
                     node.append(xxhash.xxh3_64_intdigest(codes.tobytes()))
                     n.append(len(codes))
+                    fp.append(None if node[-1] in seen else fingerprint(codes))
                     bits.append(None if node[-1] in seen else _parities(codes))
                     wide.append(None if node[-1] in seen else _wide(codes))
                     prefix.append(codes[:0] if node[-1] in seen else _prefix(codes, *late.value, p, q))
                     seen.add(node[-1])
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in prefix])]).astype(np.int32)
                 codes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix).view(np.int64)))
-                made = [pa.array(np.array(node, np.uint64).view(np.int64), mask=np.array(n) == 0), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(wide, pa.binary()), codes]
-                yield pa.RecordBatch.from_arrays([*(some.column(x) for x in ("doc", "digest")), *made], ["doc", "digest", "node", "n", "bits", "wide", "prefix"])
+                made = [pa.array(np.array(node, np.uint64).view(np.int64), mask=np.array(n) == 0), pa.array(n, pa.int64()), pa.array(np.array([x or 0 for x in fp], np.uint64).view(np.int64), mask=np.array([x is None for x in fp], bool)), pa.array(bits, pa.binary()), pa.array(wide, pa.binary()), codes]
+                yield pa.RecordBatch.from_arrays([*(some.column(x) for x in ("doc", "digest")), *made], ["doc", "digest", "node", "n", "fp", "bits", "wide", "prefix"])
 
     texts = docs.select(F.col(doc).cast("long").alias("doc"), _digest(text).alias("digest"), F.col(text).alias("t"))
-    rows = common.cut(texts.mapInArrow(run, "doc long, digest binary, node long, n long, bits binary, wide binary, prefix array<long>"))
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "digest")).alias("least"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.max("wide").alias("wide"))
+    rows = common.cut(texts.mapInArrow(run, "doc long, digest binary, node long, n long, fp long, bits binary, wide binary, prefix array<long>"))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "digest")).alias("least"), F.max("n").alias("n"), F.max("fp").alias("fp"), F.max("bits").alias("bits"), F.max("wide").alias("wide"))
     nodes = common.cut(nodes)
     named = nodes.select("node", F.col("least.doc").alias("doc"), F.col("least.digest").alias("digest"))
 
@@ -428,7 +443,8 @@ def _grouped(docs: DataFrame, shingle: int, similarity: float, most: int, doc: s
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most: int = 2048, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, component: groups of documents whose sets of word shingles have a Jaccard similarity of `similarity` or more.
 
-    Pairs are complete: of any two sets so similar the first fifth of codes (rarest first) share one, and buckets of
+    Covering SimHash (fingerprints of the distinct shingle codes) links texts of near fingerprints, and an exact way for
+    the rest follows. Pairs are complete: of any two sets so similar the first fifth of codes (rarest first) share one, and buckets of
     one code propose all their pairs but those already joined, those of too different sizes and those whose parities
     differ too much. The whole sets of distinct shingle codes judge them, as integer counts. Only texts
     with equal sets (a digest of 64 bits) go unjudged. Texts without words form no groups. Rows without an id join groups but

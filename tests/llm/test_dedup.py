@@ -265,6 +265,23 @@ def test_near_copies_miss_no_pair(spark):
     assert {r.doc: r.component for r in simhash.near_copies(df, most=16).collect()} == want
 
 
+def test_near_copies_go_by_covering_fingerprints(spark, monkeypatch):
+    rng = random.Random(12)
+    fps = [rng.getrandbits(64) for _ in range(150)]
+    fps += [fps[rng.randrange(150)] ^ sum(1 << k for k in rng.sample(range(64), rng.choice([0, 1, 3, 4, 5, 6]))) for _ in range(300)]
+    nodes = [(rng.getrandbits(63), int(np.array([x], np.uint64).view(np.int64)[0])) for x in fps]
+    near = [(a, b) for a, x in nodes for b, y in nodes if a <= b and ((x ^ y) & (2**64 - 1)).bit_count() <= 4]
+    found = [(r.a, r.b) for r in simhash._by_fingerprint(spark.createDataFrame(nodes, "node long, fp long")).collect()]
+    assert all(a < b for a, b in found) and brute_components(found + [(a, a) for a, _ in nodes]) == brute_components(near)
+
+    asked, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda fps, radius: asked.append((fps.count(), radius)) or links(fps, radius))
+    words = [f"w{k}" for k in range(120)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, *words])), (3, " ".join(words[:6]))]
+    kept = simhash.without_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3] and [radius for _, radius in asked] == [4]
+
+
 def test_near_copies_judge_long_texts_on_whole_sets(spark):
     rng = random.Random(6)
     rows = []
