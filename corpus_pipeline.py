@@ -25,6 +25,7 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are judged by that evidence alone, and go if it does not do. Repeated rows are judged alike.
     """
+    common.sweep(spark)
     model = language.train(docs)
 
     def stage(own: DataFrame) -> DataFrame:
@@ -40,6 +41,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     Covering SimHash links near fingerprints; pairs of that similarity beyond its radius are found by shared shingles.
     Texts without words, and null texts, are nobody's copies. Of rows of one id, and of a group without ids, one stays.
     """
+    common.sweep(spark)
     return simhash.without_copies(docs)
 
 
@@ -48,6 +50,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null and empty texts stay as they are. Rows of one id take nothing from each other; a null id is the largest.
     """
+    common.sweep(spark)
 
     def stage(own: DataFrame) -> DataFrame:
         found = substrings.dedup_substrings(own, PASSAGE)
@@ -62,6 +65,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words are taken no times and go. Equal rows are taken one after the other.
     """
+    common.sweep(spark)
 
     def stage(own: DataFrame) -> DataFrame:
         found = mixing.mix(own).where("taken > 0")
@@ -78,6 +82,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, pieces of each text (ids), and whether they decode to it (round_trip); both null for a null text."""
+    common.sweep(spark)
     return pieces.encode(docs.select("doc_id", "source", "lang", "text")).drop("text")
 
 
