@@ -153,7 +153,7 @@ class Scan:
         self.p = pieces
         self.one = {name: _path([i]) for name, i in pieces.id.items()}
         self.pairs = _Memo(lambda pair: pieces.apart(*[pieces.names[i] for i in _ids(pair)]), most)
-        self.runs = _Memo(self._run, most)
+        self.runs = _Memo(self._through, most)
         byte = {i: bytes([b]) for b, i in pieces.byte.items()}
         self.raw = pa.array([byte.get(i) or name.replace(SPACE, " ").encode() for i, name in enumerate(pieces.names)], pa.large_binary())
 
@@ -168,7 +168,11 @@ class Scan:
             return True
         return self.pairs[self.one[a] + self.one[b]]
 
-    def _run(self, text: str) -> bytes:
+    def _run(self, text: str) -> tuple[int, ...]:
+        """Ids of the pieces of a run."""
+        return tuple(_ids(self._through(text)).tolist())
+
+    def _through(self, text: str) -> bytes:
         """Path through a run between hard borders. That of a short run is a remembered prefix's path and its last piece."""
         known, longest, size = self.one, self.p.longest, len(text)
         if size <= SHORT:
